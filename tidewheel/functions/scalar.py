@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # arithmetic
 
@@ -61,12 +62,12 @@ def ln(x: Column) -> Column:
     return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.log(x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.nan if math.isnan(v) else math.inf if v <= 0 and v == int(v) or math.isinf(v) else math.lgamma(v), na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def tgamma(x: pd.Series) -> pd.Series:
     def gamma(v: float) -> float:
         try:
@@ -165,7 +166,7 @@ def is_ascii(s: Column) -> Column:
 
 
 def _normal(form: str):
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def test(s: pd.Series) -> pd.Series:
         return s.map(lambda v: unicodedata.is_normalized(form, v), na_action="ignore").astype(object)
 

@@ -53,23 +53,28 @@ def split_record(line: Column, sep: str = ",") -> Column:
     separators.
     """
     body = F.regexp_replace(line, "\r\\z", "")
-    parts = F.split(F.replace(body, F.lit(_ESC), F.lit(_ESC + "a")), '"', -1)
-    n = F.size(parts)
-
-    def sound(p: Column, i: Column) -> Column:
-        return (i % 2 == 1) | (p == "") | (((i == 0) | p.startswith(sep)) & ((i == n - 1) | p.endswith(sep)))
-
-    good = (n % 2 == 1) & F.forall(F.transform(parts, sound), lambda x: x)
-    # Outer empty parts between two quotes are a literal quote; at the ends, nothing.
-    masked = F.transform(
-        parts,
-        lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit(sep), F.lit(_COMMA)))
-        .when((p == "") & (i > 0) & (i < n - 1), F.lit('"'))
-        .otherwise(p),
-    )
-    fields = F.split(F.array_join(masked, ""), "\\Q" + sep + "\\E", -1)
-    plain = F.transform(fields, lambda f: F.replace(F.replace(f, F.lit(_COMMA), F.lit(sep)), F.lit(_ESC + "a"), F.lit(_ESC)))
-    return F.when(good, plain)
+    cut = F.split(F.replace(body, F.lit(_ESC), F.lit(_ESC + "a")), '"', -1)
+
+    def fields_of(parts: Column) -> Column:
+        n = F.size(parts)
+
+        def sound(p: Column, i: Column) -> Column:
+            return (i % 2 == 1) | (p == "") | (((i == 0) | p.startswith(sep)) & ((i == n - 1) | p.endswith(sep)))
+
+        # Outer empty parts between two quotes are a literal quote; at the ends, nothing.
+        masked = F.transform(
+            parts,
+            lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit(sep), F.lit(_COMMA)))
+            .when((p == "") & (i > 0) & (i < n - 1), F.lit('"'))
+            .otherwise(p),
+        )
+        fields = F.split(F.array_join(masked, ""), "\\Q" + sep + "\\E", -1)
+        plain = F.transform(fields, lambda f: F.replace(F.replace(f, F.lit(_COMMA), F.lit(sep)), F.lit(_ESC + "a"), F.lit(_ESC)))
+        good = (n % 2 == 1) & F.forall(F.transform(parts, sound), lambda x: x)
+        return F.when(good, plain)
+
+    # The parts are bound to a variable, so that they are cut once and not once per part.
+    return F.get(F.transform(F.array(cut), fields_of), F.lit(0))
 
 
 def valid_timestamp(v: Column) -> Column:

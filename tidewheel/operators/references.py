@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 10_000
 DEFAULT_HOT_ROWS = 100_000
-_WHOLE = F.lit("0001-01-01").cast("date")
 
 
 @dataclass(frozen=True)
@@ -53,15 +52,20 @@ class ParentLog:
     weight: str
 
 
+def _whole():
+    """The slice of keys that are merged whole, and of references without time."""
+    return F.lit("0001-01-01").cast("date")
+
+
 def _merged(refs: DataFrame, log: DataFrame, hot_rows: int) -> DataFrame:
     """Rows of both streams with the group (k, slice) in which they are merged."""
     hot = (
         refs.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_rows)
         .orderBy(F.desc("n"), "k").limit(MAX_HOT_KEYS).select("k", F.lit(True).alias("hot"))
     )
-    day = F.coalesce(F.to_date("t"), _WHOLE)
+    day = F.coalesce(F.to_date("t"), _whole())
     slices = lambda df: df.join(F.broadcast(hot), "k", "left").withColumn(
-        "slice", F.when(F.col("hot"), day).otherwise(_WHOLE)
+        "slice", F.when(F.col("hot"), day).otherwise(_whole())
     )
     first = log.groupBy("k").agg(F.min(F.when(F.col("w") > 0, F.col("t"))).alias("first_t"))
     refs_s = slices(refs)
@@ -80,7 +84,7 @@ def _merged(refs: DataFrame, log: DataFrame, hot_rows: int) -> DataFrame:
     )
     none = lambda kind: F.lit(None).cast(kind)
     header = (
-        first.join(F.broadcast(hot), "k", "left_anti").select("k", _WHOLE.alias("slice"), none("int").alias("w"), "first_t")
+        first.join(F.broadcast(hot), "k", "left_anti").select("k", _whole().alias("slice"), none("int").alias("w"), "first_t")
         .unionByName(carried)
         .select("k", "slice", none("timestamp_ntz").alias("t"), F.lit(0).alias("kind"), none("bigint").alias("seq"), "w", "first_t", none("string").alias("id"), none("string").alias("src"))
     )
