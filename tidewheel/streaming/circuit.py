@@ -210,7 +210,7 @@ class Stream:
 
         Aggregates are expressions over rows with a weight column, such as
         sum(v * __w).  Only outputs whose range a changed row falls into are done
-        again: times t with t + from_ <= changed <= t + to.
+        again: times t with t + from_ <= changed <= t + to, and the changed time itself.
         """
         source = self
         if mark is not None:
@@ -231,7 +231,8 @@ class Stream:
             cond = [F.col(p).eqNullSafe(F.col(f"__p_{p}")) for p in partition]
 
             def cut(rows: DataFrame, margin: int) -> DataFrame:
-                near = F.col(ts).between(F.col("__lo") - to - margin, F.col("__hi") - from_ + margin)
+                # a changed row concerns the outputs whose range it falls into, and the one at its own time
+                near = F.col(ts).between(F.col("__lo") - max(to, 0) - margin, F.col("__hi") - min(from_, 0) + margin)
                 return rows.join(limits, [*cond, near]).drop("__lo", "__hi", *[f"__p_{p}" for p in partition])
 
             old = cut_lineage(consolidate(cut(state.read(), span + abs(from_) + abs(to))))
