@@ -114,8 +114,9 @@ def _segments(line: str) -> str:
 def _mask_words(m: str) -> str:
     """Full stops of decimals, initials, abbreviations and ordinals masked."""
     before = "(?<![\\p{L}\\p{M}\\p{N}])"
-    # one letter: an initial or a short form, but not the last of several (B.C.) nor the Russian year
-    initial = "(?<=(?<![\\p{L}\\p{M}\\p{N}.])\\p{L}\\.)(?<!(?<![\\p{L}])г\\.)(?<!т\\.[ \\u00a0]?[дп]\\.)"
+    # one letter: an initial or a short form, but not the last of several (B.C.) nor the Russian year;
+    # it may stand right behind the end of a sentence, where the blank was forgotten
+    initial = "(?<=(?<![\\p{L}\\p{M}\\p{N}.])\\p{L}\\.|(?<=[\\p{L}\\p{Nd}][\\p{Ll}\\p{Nd})”’»][.!?…])\\p{Lu}\\.)(?<!(?<![\\p{L}])г\\.)(?<!т\\.[ \\u00a0]?[дп]\\.)"
     word = f"(?<!\\p{{Ll}}{{8}}\\.)(?<={before}(?:{_alternatives(_WORDS)})\\.)"
     ordinal = f"(?=[ \\u00a0](?:{AFTER_ORDINALS})\\b)(?<=(?<![\\p{{N}}.,])\\p{{Nd}}{{1,2}}\\.)"
     # Only a full stop before a blank and no small letter, or before a capital, could end a sentence at all.
