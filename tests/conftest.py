@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from tidewheel.session import local_session
 
-    s = local_session(4, 4)
+    s = local_session(4, 2)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

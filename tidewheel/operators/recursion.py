@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidewheel.session import cut_lineage
 
 Relations = dict[str, DataFrame]
+COMPACT_EVERY = 8
 
 
 def fixpoint(seeds: Mapping[str, DataFrame], rules: Callable[[Relations, Relations], Relations], max_rounds: int = 1000) -> Relations:
@@ -26,7 +27,7 @@ def fixpoint(seeds: Mapping[str, DataFrame], rules: Callable[[Relations, Relatio
     """
     known: Relations = {k: cut_lineage(df.distinct()) for k, df in seeds.items()}
     new = dict(known)
-    for _ in range(max_rounds):
+    for i in range(1, max_rounds + 1):
         fresh: Relations = {}
         for name, derived in rules(known, new).items():
             cols = known[name].columns
@@ -34,7 +35,9 @@ def fixpoint(seeds: Mapping[str, DataFrame], rules: Callable[[Relations, Relatio
             fresh[name] = cut_lineage(derived.select(*cols).distinct().alias("a").join(known[name].alias("b"), [x for x in cond], "left_anti"))
         if all(df.isEmpty() for df in fresh.values()):
             return known
-        known = {k: cut_lineage(df.unionByName(fresh[k])) if k in fresh else df for k, df in known.items()}
+        known = {k: df.unionByName(fresh[k]) if k in fresh else df for k, df in known.items()}
+        if i % COMPACT_EVERY == 0:  # until then a union of parts that are cut from their lineage
+            known = {k: cut_lineage(df) for k, df in known.items()}
         new = {k: fresh.get(k, df.where("false")) for k, df in known.items()}
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 

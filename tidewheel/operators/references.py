@@ -6,7 +6,7 @@ to the same partitions by key, sorted by time and merged in one linear pass: a
 running window carries the state of the parent key (the validity interval that
 is open or closed at that moment) along the merged stream.
 
-Hot keys.  A key with ``hot_rows`` references or more is cut into calendar
+Hot keys.  A key with ``hot_rows`` references and changes or more is cut into calendar
 days; the state at the start of each day is carried in from the changes before
 it, so a day of such a key is a group of its own and nothing is replicated.
 At most ``MAX_HOT_KEYS`` keys (the largest) are cut, which bounds the broadcast
@@ -60,7 +60,7 @@ def _whole():
 def _merged(refs: DataFrame, log: DataFrame, hot_rows: int) -> DataFrame:
     """Rows of both streams with the group (k, slice) in which they are merged."""
     hot = (
-        refs.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_rows)
+        refs.select("k").unionByName(log.select("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_rows)
         .orderBy(F.desc("n"), "k").limit(MAX_HOT_KEYS).select("k", F.lit(True).alias("hot"))
     )
     day = F.coalesce(F.to_date("t"), _whole())

@@ -127,22 +127,27 @@ def _day() -> Column:
     return F.date_format(F.timestamp_millis("date_time"), "yyyy-MM-dd").alias("day")
 
 
-def _counts() -> list[Column]:
-    """Total and per rank: bids, bidders and auctions (12 counts in one aggregation)."""
-    out = [F.count(F.lit(1)).alias("total_bids")] + [F.count_if(F.expr(c)).alias(f"{r}_bids") for r, c in _RANKS]
+def _counts(bids: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
+    """Total and per rank: bids, bidders and auctions (12 counts).
+
+    Distinct counts go through one row per (key, bidder) and (key, auction) with a
+    flag per rank, instead of expanding every bid once per distinct count.
+    """
+    out = bids.groupBy(*keys).agg(*extra, F.count(F.lit(1)).alias("total_bids"), *[F.count_if(F.expr(c)).alias(f"{r}_bids") for r, c in _RANKS])
     for col, name in (("bidder", "bidders"), ("auction", "auctions")):
-        out.append(F.count_distinct(F.col(col)).alias(f"total_{name}"))
-        out += [F.count_distinct(F.when(F.expr(c), F.col(col))).alias(f"{r}_{name}") for r, c in _RANKS]
+        seen = bids.groupBy(*keys, col).agg(*[F.max(F.expr(c)).alias(r) for r, c in _RANKS])
+        per_key = seen.groupBy(*keys).agg(F.count(col).alias(f"total_{name}"), *[F.count_if(F.col(r) & F.col(col).isNotNull()).alias(f"{r}_{name}") for r, _ in _RANKS])
+        out = out.join(per_key, keys)
     return out
 
 
 def q15(t: Tables) -> DataFrame:
-    return t["bid"].groupBy(_day()).agg(*_counts())
+    return _counts(t["bid"].select("auction", "bidder", "price", _day()), ["day"])
 
 
 def q16(t: Tables) -> DataFrame:
-    minute = F.max(F.date_format(F.timestamp_millis("date_time"), "HH:mm")).alias("minute")
-    return t["bid"].groupBy("channel", _day()).agg(minute, *_counts())
+    minute = F.date_format(F.timestamp_millis("date_time"), "HH:mm").alias("minute")
+    return _counts(t["bid"].select("auction", "bidder", "price", "channel", _day(), minute), ["channel", "day"], F.max("minute").alias("minute"))
 
 
 def q17(t: Tables) -> DataFrame:

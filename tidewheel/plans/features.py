@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions import scalar
+from tidewheel.operators.timeseries import rolling_mean, rolling_sum
 
 DAY = 86_400
 
 
-def _over(partition: str, order: str, seconds: int):
-    return Window.partitionBy(partition).orderBy(order).rangeBetween(-seconds, -1)
-
-
 def transactions_with_demographics(transactions: DataFrame, demographics: DataFrame) -> DataFrame:
     """Inner join on the card number."""
     d = demographics.select("cc_num", "first", "city")
@@ -27,10 +24,10 @@ def fraud_features(transactions: DataFrame, demographics: DataFrame, how: str =
     """
     keep = transactions.select("trans_num", "cc_num", "unix_time", "amt", "category", "merchant", "merch_lat", "merch_long", "is_fraud")
     d = demographics.select("cc_num", "state", "job", "city_pop", "lat", "long")
-    spend = lambda days: F.avg("amt").over(_over("cc_num", "unix_time", days * DAY))
+    spend = lambda days: rolling_mean(F.col("amt"), ["cc_num"], "unix_time", -days * DAY, -1)
     return keep.join(d, "cc_num", how).select(
         "trans_num", "cc_num", scalar.planar_distance(F.col("long"), F.col("lat"), F.col("merch_long"), F.col("merch_lat")).alias("distance"), spend(7).alias("avg_spend_pw"), spend(30).alias("avg_spend_pm"),
-        F.count(F.lit(1)).over(_over("cc_num", "unix_time", DAY)).alias("trans_freq_24"), "category", "amt", "state", "job", "unix_time", "city_pop", "merchant", "is_fraud",
+        rolling_sum(F.lit(1), ["cc_num"], "unix_time", -DAY, -1).alias("trans_freq_24"), "category", "amt", "state", "job", "unix_time", "city_pop", "merchant", "is_fraud",
     )
 
 
@@ -38,11 +35,11 @@ def trip_features(trips: DataFrame) -> DataFrame:
     """Trips and fares of the hour before at the pickup place, trips of the half hour before at the dropoff place, weekend flag."""
     up, down = F.unix_timestamp(F.col("lpep_pickup_datetime").cast("timestamp")), F.unix_timestamp(F.col("lpep_dropoff_datetime").cast("timestamp"))
     t = trips.withColumns({"up_s": up, "down_s": down})
-    hour, half = _over("pickup_location_id", "up_s", 3600), _over("dropoff_location_id", "down_s", 1800)
+    up_place, down_place = ["pickup_location_id"], ["dropoff_location_id"]
     return t.select(
         "trip_id", "lpep_pickup_datetime", "lpep_dropoff_datetime", "pickup_location_id", "dropoff_location_id", "trip_distance", "fare_amount",
-        F.count(F.lit(1)).over(hour).alias("count_trips_window_1h_pickup_zip"), F.avg("fare_amount").over(hour).alias("mean_fare_window_1h_pickup_zip"),
-        F.count(F.lit(1)).over(half).alias("count_trips_window_30m_dropoff_zip"), F.when(scalar.iso_day_of_week(F.col("lpep_dropoff_datetime")) > 5, 1).otherwise(0).alias("dropoff_is_weekend"),
+        rolling_sum(F.lit(1), up_place, "up_s", -3600, -1).alias("count_trips_window_1h_pickup_zip"), rolling_mean(F.col("fare_amount"), up_place, "up_s", -3600, -1).alias("mean_fare_window_1h_pickup_zip"),
+        rolling_sum(F.lit(1), down_place, "down_s", -1800, -1).alias("count_trips_window_30m_dropoff_zip"), F.when(scalar.iso_day_of_week(F.col("lpep_dropoff_datetime")) > 5, 1).otherwise(0).alias("dropoff_is_weekend"),
     )
 
 

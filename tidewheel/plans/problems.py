@@ -112,7 +112,7 @@ _TRIPS = """
 
 # Records with sound quoting, cut into fields by one regular expression.
 _RAW = r"""
-    raw AS (SELECT DISTINCT line_id, regexp_replace(line, '\r$', '') AS body FROM (SELECT line_id, CASE WHEN right(line, 1) = chr(13) THEN left(line, length(line) - 1) ELSE line END AS line FROM raw_transactions)),
+    raw AS (SELECT DISTINCT line_id, CASE WHEN right(line, 1) = chr(13) THEN left(line, length(line) - 1) ELSE line END AS body FROM raw_transactions),
     laid AS (SELECT line_id, body, regexp_full_match(body, '([^",]*|"([^"]|"")*")(,([^",]*|"([^"]|"")*"))*', 's') AS sound,
       regexp_extract_all(',' || body, ',("(?:[^"]|"")*"|[^",]*)', 1, 's') AS quoted FROM raw),
     cut AS (SELECT line_id, sound, list_transform(quoted, lambda f: CASE WHEN f LIKE '"%' THEN replace(f[2:-2], '""', '"') ELSE f END) AS f FROM laid),
