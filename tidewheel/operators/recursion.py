@@ -18,7 +18,7 @@ Relations = dict[str, DataFrame]
 COMPACT_EVERY = 8
 
 
-def fixpoint(seeds: Mapping[str, DataFrame], rules: Callable[[Relations, Relations], Relations], max_rounds: int = 1000) -> Relations:
+def fixpoint(seeds: Mapping[str, DataFrame], rules: Callable[[Relations, Relations], Relations], max_rounds: int = 1000, compact_every: int = COMPACT_EVERY) -> Relations:
     """Least fixed point of mutually recursive set relations.
 
     ``rules(all, new)`` derives rows from what is known and what the last round
@@ -36,7 +36,7 @@ def fixpoint(seeds: Mapping[str, DataFrame], rules: Callable[[Relations, Relatio
         if all(df.isEmpty() for df in fresh.values()):
             return known
         known = {k: df.unionByName(fresh[k]) if k in fresh else df for k, df in known.items()}
-        if i % COMPACT_EVERY == 0:  # until then a union of parts that are cut from their lineage
+        if i % compact_every == 0:  # until then a union of parts that are cut from their lineage
             known = {k: cut_lineage(df) for k, df in known.items()}
         new = {k: fresh.get(k, df.where("false")) for k, df in known.items()}
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
