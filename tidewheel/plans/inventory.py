@@ -471,8 +471,31 @@ def bfs(spark, d):
     return recursion.bfs(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), _edges(spark, d), 1, -1)
 
 
-def _rank_sql(rounds: int) -> str:
-    parts = [f"e AS {_EDGES}", "v AS (SELECT s_suppkey AS id FROM supplier)", "n AS (SELECT count(*) AS n FROM v)", "g AS (SELECT src, count(*) AS g FROM e GROUP BY 1)", "r0 AS (SELECT id, 1e0 / n AS rank FROM v, n)"]
+# the same tree with a link across from every supplier, and for the search also the tree's edges away from its root, which is supplier 2
+
+_CROSSED = "SELECT s_suppkey AS src, s_suppkey // 2 + 1 AS dst FROM supplier UNION SELECT s_suppkey, (s_suppkey * 7 + 3) % (SELECT count(*) FROM supplier) FROM supplier"
+
+
+def _crossed(spark, d, back: bool = False):
+    s = table(spark, d, "supplier")
+    n = s.count()
+    k, up = F.col("s_suppkey"), F.expr("s_suppkey div 2 + 1")
+    e = s.select(k.alias("src"), up.alias("dst")).unionByName(s.select(k.alias("src"), ((k * 7 + 3) % n).alias("dst")))
+    return (e.unionByName(s.select(up.alias("src"), k.alias("dst"))) if back else e).distinct()
+
+
+@query(f"WITH RECURSIVE e AS ({_CROSSED}), p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src) SELECT src, dst FROM p")
+def transitive_closure_crossed(spark, d):
+    return recursion.transitive_closure(_crossed(spark, d))
+
+
+@query(f"WITH RECURSIVE e AS ({_CROSSED} UNION SELECT s_suppkey // 2 + 1, s_suppkey FROM supplier), b AS (SELECT CAST(2 AS bigint) AS id, CAST(0 AS bigint) AS distance UNION SELECT e.dst, b.distance + 1 FROM b JOIN e ON b.id = e.src WHERE b.distance < 60) SELECT s_suppkey AS id, coalesce(min(distance), -1) AS distance FROM supplier LEFT JOIN b ON s_suppkey = id GROUP BY 1")
+def bfs_from_root(spark, d):
+    return recursion.bfs(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), _crossed(spark, d, back=True), 2, -1)
+
+
+def _rank_sql(rounds: int, edges: str = _EDGES) -> str:
+    parts = [f"e AS {edges}", "v AS (SELECT s_suppkey AS id FROM supplier)", "n AS (SELECT count(*) AS n FROM v)", "g AS (SELECT src, count(*) AS g FROM e GROUP BY 1)", "r0 AS (SELECT id, 1e0 / n AS rank FROM v, n)"]
     for i in range(rounds):
         parts.append(
             f"r{i + 1} AS (SELECT v.id, 0.15e0 / n + 0.85e0 * (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE id NOT IN (SELECT src FROM g)) / n + 0.85e0 * coalesce(x.got, 0) AS rank FROM v CROSS JOIN n LEFT JOIN (SELECT dst, sum(rank / g) AS got FROM e JOIN g USING (src) JOIN r{i} ON id = src GROUP BY 1) x ON x.dst = v.id)"
@@ -486,6 +509,12 @@ def pagerank(spark, d):
     return r.select("id", F.round("rank", 12).alias("rank"))
 
 
+@query(_rank_sql(3, f"({_CROSSED})"))
+def pagerank_crossed(spark, d):
+    r = recursion.pagerank(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), _crossed(spark, d), 3)
+    return r.select("id", F.round("rank", 12).alias("rank"))
+
+
 @query(f"WITH RECURSIVE e AS {_EDGES}, l AS (SELECT s_suppkey AS id, s_name AS label FROM supplier WHERE s_suppkey <= 3 UNION SELECT e.dst, l.label FROM l JOIN e ON l.id = e.src) SELECT id, label FROM l")
 def label_propagation(spark, d):
     labels = table(spark, d, "supplier").where("s_suppkey <= 3").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"))
