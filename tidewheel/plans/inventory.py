@@ -530,6 +530,27 @@ def incremental_closure(spark, d):
     return expanded(consolidate(sum_of([c.step(e=e)["out"], c.step(e=neg(e.where("src = 1")))["out"]])))
 
 
+@query(f"WITH RECURSIVE e AS {_EDGES}, l AS (SELECT s_suppkey AS id, n_name AS label FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT e.dst, l.label FROM l JOIN e ON l.id = e.src) SELECT id, label FROM l")
+def label_propagation_nations(spark, d):
+    """Every supplier starts with the name of its nation."""
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    labels = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_suppkey").alias("id"), F.col("n_name").alias("label"))
+    return recursion.propagate_labels(_edges(spark, d), labels)
+
+
+_STAYING = f"(SELECT * FROM {_EDGES} WHERE src NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = (SELECT s_nationkey FROM supplier WHERE s_suppkey = 3)))"
+
+
+@query(f"WITH RECURSIVE e AS {_STAYING}, p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src) SELECT src, dst FROM p")
+def incremental_closure_nation(spark, d):
+    """Closure kept up to date: all edges first, then those out of all suppliers of one nation deleted, that of supplier 3, below the root."""
+    c = Circuit(spark)
+    c.add_input("e", "src bigint, dst bigint").recursive(lambda df: weighted(recursion.transitive_closure(distinct(df).drop(W)))).output("out")
+    e, s = weighted(_edges(spark, d)), table(spark, d, "supplier")
+    gone = s.join(s.where("s_suppkey = 3").select("s_nationkey"), "s_nationkey").select(F.col("s_suppkey").alias("src"))
+    return expanded(consolidate(sum_of([c.step(e=e)["out"], c.step(e=neg(e.join(gone, "src", "left_semi")))["out"]])))
+
+
 # Every relation leads from a supplier to ancestors of it in the tree v -> v div 2 + 1, so the fixed point stays within the pairs of
 # supplier and ancestor (n log n), however many suppliers there are.  p steps two levels; odd distances come only from c and u.
 _UP = "SELECT s_suppkey AS v, s_suppkey // 2 + 1 AS v1, (s_suppkey // 2 + 1) // 2 + 1 AS v2, CAST(s_nationkey % 3 AS bigint) AS role FROM supplier"
