@@ -63,6 +63,12 @@ def flat_map_split(spark, d):
     return consolidate(words).withColumnRenamed(W, "n")
 
 
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY 1")
+def flat_map_documents(spark, d):
+    words = linear.flat_map(_w(spark, d, "documents", "text"), F.split("text", " "), "word")
+    return consolidate(words).withColumnRenamed(W, "n")
+
+
 @query("SELECT l_returnflag, sum(-l_quantity) AS weight FROM lineitem GROUP BY 1 HAVING sum(-l_quantity) <> 0")
 def neg_weigh(spark, d):
     li = neg(_w(spark, d, "lineitem", "l_returnflag", "l_quantity"))
