@@ -72,7 +72,10 @@ def _trailing(spark: SparkSession, d: str, of_demographics: bool) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     t = _trailing(spark, d, True)
-    hit = (F.col("age") >= 30) & (F.col("units_7") >= 100_000) & (F.col("units_7") * 4 > F.col("units_30") * 3)
+    total = lambda p: F.col(f"units_{p}") / 100 + F.col(f"beyond_{p}")
+    exact = (F.col("units_7") >= 100_000) & (F.col("units_7") * 4 > F.col("units_30") * 3)
+    vast = (total(7) >= 1000.0) & (total(7) * 4 > total(30) * 3)
+    hit = (F.col("age") >= 30) & F.when((F.col("beyond_7") == 0) & (F.col("beyond_30") == 0), exact).otherwise(vast)
     return t.where(hit).select(F.col("entity").cast("bigint").alias("cc_num"), F.date_from_unix_date("day").cast("string").alias("spend_day"))
 
 
