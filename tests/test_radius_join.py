@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tidewheel.operators.radius_join import Places, VantageTree, haversine, radius_join
+from tidewheel.operators.radius_join import Places, VantageTree, haversine, radius_join, radius_join_report
 
 L, R = "id string, lat double, lon double, cell string, d string", "id bigint, lat double, lon double, lb int, rb int"
 
@@ -32,7 +32,7 @@ def run(spark, left, right, km, **kw):
     return set(rows)
 
 
-@pytest.mark.parametrize("kw", [{}, {"block_rows": 20}, {"pivots": 3, "block_rows": 15}])
+@pytest.mark.parametrize("kw", [{}, {"block_rows": 20}, {"pivots": 3, "block_rows": 15}, {"pivots": 2, "cell_rows": 10}])
 def test_against_all_pairs(spark, kw):
     rnd = random.Random(5)
     spots = [(40.0, -74.0), (89.99, 10.0), (-89.99, -170.0), (10.0, 179.99), (10.0, -179.99), (0.0, 0.01)]
@@ -58,3 +58,22 @@ def test_tree_with_equal_places():
     tree = VantageTree(lat, np.zeros(540))
     found = sum(len(i) for i, _ in tree.within(np.array([0.0, 0.1]), np.array([0.0, 0.0]), 1.0))
     assert found == 540
+
+
+def test_ids_with_several_places(spark):
+    # both places of an id in one cell or in different ones: each pair once
+    assert run(spark, [("a", 10.0, 10.0, "", ""), ("b", 10.1, 10.1, "", "")], [(1, 10.0, 10.0, 1, 1), (1, 10.1, 10.1, 1, 1)], 2.0) == {("a", 1), ("b", 1)}
+    right = [(1, 10.0, 10.0, 1, 1), (1, 10.005, 10.0, 1, 1), (2, 10.005, 10.0, 1, 1)]
+    left = [("a", 10.0, 10.0, "", ""), ("a", 10.004, 10.0, "", "")]
+    for pivots in (1, 2, 16):
+        assert run(spark, left, right, 2.0, pivots=pivots) == {("a", 1), ("a", 2)}
+
+
+def test_heavy_cells_are_cut_again(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.uniform(40.0, 41.0), rnd.uniform(-74.0, -73.0), 1, 2) for i in range(4000)]
+    places = Places(spark.createDataFrame(rows, R), "id", "lat", "lon")
+    one = radius_join_report(places, places, 1.0, pivots=2, cell_rows=10_000)
+    two = radius_join_report(places, places, 1.0, pivots=2, cell_rows=100)
+    assert one["cells"] == 2 and one["largest"] > 1000
+    assert two["cells"] > 20 and two["largest"] < 600
