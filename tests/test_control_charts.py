@@ -8,7 +8,7 @@ from statistics import median
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewheel.operators.control_charts import ChartConfig, Readings, chart, exact_medians, implausible
+from tidewheel.operators.control_charts import ChartConfig, Readings, charts, exact_medians, implausible
 
 SCHEMA = "trip bigint, loc bigint, at timestamp_ntz, dist double, fare double, src string, period string"
 T0 = datetime(2024, 1, 1)
@@ -88,18 +88,50 @@ def test_medians_are_exact(spark):
     assert got == {s: median(vs) for s, vs in values.items()}
 
 
-def test_chart_clips_spikes_and_stays_near_the_median():
+def test_chart_clips_spikes_and_follows_the_source():
     cfg = ChartConfig()
-    v = np.r_[np.full(50, 10.0), np.full(200, 1e6), np.full(50, 10.0)]
-    raised, out = chart(v, 10.0, cfg)
-    assert not raised[:50].any() and raised[50:250].all() and not raised[250:].any()
-    assert out[50]
-    # whatever is beyond the ratio is raised, however the level drifted
-    rnd = np.random.default_rng(0)
-    w = np.exp(np.cumsum(rnd.normal(0, 0.3, 5000)))
-    m = float(np.median(w))
-    raised, _ = chart(w, m, cfg)
-    assert raised[(w > 6 * m) | (w < m / 6)].all()
+    place = lambda v: np.floor(np.log2(np.array(v)) * 16).astype(np.int64) + 2_000_000
+    # ten readings a period; a tenth of the readings of ten periods are spikes and do not drag the chart along
+    v, groups = [], []
+    for t in range(60):
+        v += [10.0 * (1 + 0.1 * (i % 3)) for i in range(10)]
+        if 20 <= t < 30:
+            v[-1] = 1e6
+        groups += [t] * 10
+    lo, hi = charts(place(v), np.ones(len(v), dtype=np.int64), np.array(groups), cfg)
+    assert (np.exp(lo) < 10).all() and (np.exp(hi) > 12).all() and (np.exp(hi) < 40).all() and (np.exp(lo) > 3).all()
+    # a level that moves slowly is followed far beyond the first one, state going from period to period
+    v = [2.0 * 1.05**t for t in range(100) for _ in range(10)]
+    lo, hi = charts(place(v), np.ones(len(v), dtype=np.int64), np.repeat(np.arange(100), 10), cfg)
+    assert np.exp(lo[-1]) < v[-1] < np.exp(hi[-1]) and np.exp(lo[-1]) > 10 * v[0]
+    # no limit is wider than the alarm factor
+    assert (hi - lo <= 2 * math.log(cfg.alarm) + 1e-9).all()
+
+
+def test_the_chart_decides(spark):
+    """What is in control at its time is not held against the median; without alarms nothing is."""
+    rows = [(i, 1, T0 + timedelta(hours=i), round(2.0 * 1.02 ** (i / 4), 3), 1.0 + i % 2, "a", "b") for i in range(800)]
+    rows[400] = (400, 1, rows[400][2], rows[400][3] * 40, 1.0, "a", "b")
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = implausible(Readings(df, "trip", "loc", "at", ("dist", "fare")))
+    got = {(r.id, r.field) for r in found.where("ratio").collect()}
+    assert got == {(400, "dist")}
+    level = median(r[3] for r in rows)
+    assert sum(r[3] > 6 * level or r[3] < level / 6 for r in rows) > 50
+    wide = implausible(Readings(df, "trip", "loc", "at", ("dist", "fare")), ChartConfig(alarm=1e9, limit=1e9))
+    assert wide.where("ratio").count() == 0
+
+
+def test_a_hot_source_is_cut_into_slices(spark):
+    """Ninety percent of the rows at one source and day: the same rows, whatever the slices."""
+    rnd = random.Random(6)
+    rows = [(i, 1 if i % 10 else 2, T0 + timedelta(seconds=i * 20), rnd.choice([1.0, 1.5, 2.0, 2.0, 30.0]), None if i % 97 == 0 else 3.0, "a", "b") for i in range(3000)]
+    rows += [(5000 + i, 1, None, rnd.choice([1.0, 2.0]), 3.0, "a", "b") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {(i, f) for i, f in brute(rows)}
+    for n in (7, 50, 100_000):
+        got = implausible(Readings(df, "trip", "loc", "at", ("dist", "fare"), (("dist", F.col("dist") > 900),)), ChartConfig(slice_rows=n))
+        assert {(r.id, r.field) for r in got.where("nan or ratio or stuck or limit").collect()} == want
 
 
 def test_long_series_of_one_source(spark):
