@@ -4,8 +4,9 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidewheel.operators.references import ParentLog, References, classify_references, orphan_report, orphans
+from tidewheel.operators.references import ParentLog, References, _merged, classify_references, orphan_report, orphans
 
 T0 = datetime(2024, 1, 1)
 REFS = "id string, key double, at timestamp_ntz, t string, w int, slice string"
@@ -73,3 +74,17 @@ def test_report_and_empty(spark):
     child, parent, got = run(spark, [("a", 1.0, at(1), "", 0, ""), ("a", 1.0, at(1), "", 0, ""), ("b", 1.0, at(60 * 24 * 40), "", 0, "")], [])
     assert {r.id for r in orphans(child, parent).collect()} == {"a", "b"}
     assert {(r.table_name, r.period, r.reason, r.n) for r in orphan_report(child, parent).collect()} == {("uses", "2024-01", "missing", 1), ("uses", "2024-02", "missing", 1)}
+
+
+def test_a_hot_key_is_cut_down_to_minutes(spark):
+    """Ninety percent of the rows at one key, most within two hours and many without time: no group stays large."""
+    rnd = random.Random(12)
+    refs = [(f"r{i}", 1.0 if i % 10 else 2.0, None if i % 9 == 0 else at(rnd.choice([rnd.randrange(0, 40_000), 1000 + rnd.randrange(0, 120)])), "x", 1, "y") for i in range(3000)]
+    log = [(rnd.choice([1.0, 2.0]), at(rnd.choice([rnd.randrange(0, 40_000), 1000 + rnd.randrange(0, 120)])), s, rnd.choice([1, -1]), "z") for s in range(200)]
+    _, _, want = run(spark, refs, log)
+    assert want == brute(refs, log)
+    child = spark.createDataFrame(refs, REFS).select(F.lit("uses").alias("src"), "id", F.col("key").alias("k"), F.col("at").alias("t"))
+    parent = spark.createDataFrame(log, LOG).select(F.col("key").alias("k"), F.col("at").alias("t"), "seq", F.col("weight").alias("w"))
+    for hot, most in ((100_000, 3000), (40, 60)):
+        assert run(spark, refs, log, hot)[2] == want
+        assert _merged(child, parent, hot).groupBy("k", "slice").count().agg(F.max("count")).first()[0] <= most

@@ -6,11 +6,13 @@ to the same partitions by key, sorted by time and merged in one linear pass: a
 running window carries the state of the parent key (the validity interval that
 is open or closed at that moment) along the merged stream.
 
-Hot keys.  A key with ``hot_rows`` references and changes or more is cut into calendar
-days; the state at the start of each day is carried in from the changes before
-it, so a day of such a key is a group of its own and nothing is replicated.
-At most ``MAX_HOT_KEYS`` keys (the largest) are cut, which bounds the broadcast
-list; all other keys are merged whole.
+Hot keys.  Keys with ``hot_rows`` references and changes or more are cut into
+calendar days, hot days into hours and hot hours into minutes; the state at the
+start of each slice is carried in from the changes before it, so a slice is a
+group of its own and nothing is replicated.  References without a time, which lie
+before every change, are spread over slices by a hash of their id.  The threshold
+is at least a ``MAX_HOT``-th of all rows, so no more than ``MAX_HOT`` keys, days or
+hours can reach it: that bounds the broadcast lists without leaving out any.
 
 Defined cases: a null key is no reference and never comes out; a null reference
 time lies before every change; changes with a null key, time or weight are
@@ -27,7 +29,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 10_000
+from tidewheel.session import written
+
+MAX_HOT = 10_000
+_SPREAD = 64  # slices of a hot key for references without time
 DEFAULT_HOT_ROWS = 100_000
 
 
@@ -53,44 +58,55 @@ class ParentLog:
 
 
 def _whole():
-    """The slice of keys that are merged whole, and of references without time."""
-    return F.lit("0001-01-01").cast("date")
+    """The slice of keys that are merged whole."""
+    return F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def _merged(refs: DataFrame, log: DataFrame, hot_rows: int) -> DataFrame:
     """Rows of both streams with the group (k, slice) in which they are merged."""
-    hot = (
-        refs.select("k").unionByName(log.select("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_rows)
-        .orderBy(F.desc("n"), "k").limit(MAX_HOT_KEYS).select("k", F.lit(True).alias("hot"))
-    )
-    day = F.coalesce(F.to_date("t"), _whole())
-    slices = lambda df: df.join(F.broadcast(hot), "k", "left").withColumn(
-        "slice", F.when(F.col("hot"), day).otherwise(_whole())
-    )
     first = log.groupBy("k").agg(F.min(F.when(F.col("w") > 0, F.col("t"))).alias("first_t"))
-    refs_s = slices(refs)
-    log_s = slices(log)
-    # State carried into each day of a hot key: its last change on earlier days.
-    per_day = (
-        refs_s.where("hot").select("k", "slice", F.lit(None).cast("struct<t:timestamp_ntz,seq:bigint,w:int>").alias("last"))
-        .unionByName(log_s.where("hot").select("k", "slice", F.struct("t", "seq", "w").alias("last")))
-        .groupBy("k", "slice").agg(F.max("last").alias("last"))
-    )
-    before = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        per_day.withColumn("w", F.last("last", ignorenulls=True).over(before)["w"])
-        .join(first, "k", "left")
-        .select("k", "slice", "w", "first_t")
-    )
     none = lambda kind: F.lit(None).cast(kind)
-    header = (
-        first.join(F.broadcast(hot), "k", "left_anti").select("k", _whole().alias("slice"), none("int").alias("w"), "first_t")
-        .unionByName(carried)
-        .select("k", "slice", none("timestamp_ntz").alias("t"), F.lit(0).alias("kind"), none("bigint").alias("seq"), "w", "first_t", none("string").alias("id"), none("string").alias("src"))
-    )
+    header = lambda df: df.select("k", "slice", none("timestamp_ntz").alias("t"), F.lit(0).alias("kind"), none("bigint").alias("seq"), "w", "first_t", none("string").alias("id"), none("string").alias("src"))
+    whole = first.select("k", _whole().alias("slice"), none("int").alias("w"), "first_t")
+
+    per_key = written(refs.select("k").unionByName(log.select("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_rows))
+    least = hot_rows
+    if not per_key.isEmpty():
+        all_rows = refs.count() + log.count()
+        least = max(hot_rows, -(-all_rows // MAX_HOT))
+    hot = per_key.where(F.col("n") >= least).select("k", F.lit(True).alias("hot"))
+    if hot.isEmpty():
+        refs_s, log_s, headers = refs.withColumn("slice", _whole()), log.withColumn("slice", _whole()), header(whole)
+    else:
+        # Of hot keys: per minute how many rows, and the last change.
+        spread = _whole() + F.make_dt_interval(mins=F.pmod(F.xxhash64("id"), F.lit(_SPREAD)).cast("int"))
+        minute = F.coalesce(F.date_trunc("minute", "t").cast("timestamp_ntz"), spread)
+        some = (
+            refs.join(F.broadcast(hot), "k", "left_semi").select("k", minute.alias("minute"), none("struct<t:timestamp_ntz,seq:bigint,w:int>").alias("last"))
+            .unionByName(log.join(F.broadcast(hot), "k", "left_semi").select("k", F.date_trunc("minute", "t").cast("timestamp_ntz").alias("minute"), F.struct("t", "seq", "w").alias("last")))
+        )
+        minutes = written(some.groupBy("k", "minute").agg(F.max("last").alias("last"), F.count(F.lit(1)).alias("n")))
+        trunc = lambda unit, c: F.date_trunc(unit, c).cast("timestamp_ntz")
+        busy = lambda unit: minutes.where(F.year("minute") > 1).groupBy("k", trunc(unit, F.col("minute")).alias(unit)).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("k", unit, F.lit(True).alias(f"hot_{unit}"))
+        days, hours = F.broadcast(written(busy("day"))), F.broadcast(written(busy("hour")))
+
+        def sliced(df: DataFrame, at, timeless) -> DataFrame:
+            """With ``slice``: the whole key, or the day, hour or minute, as busy as each is."""
+            out = df.withColumns({"day": trunc("day", at), "hour": trunc("hour", at)}).join(days, ["k", "day"], "left").join(hours, ["k", "hour"], "left")
+            part = F.when(F.col("hot_hour"), trunc("minute", at)).when(F.col("hot_day"), F.col("hour")).otherwise(F.col("day"))
+            return out.withColumn("slice", F.when(F.col("hot"), F.coalesce(part, timeless)).otherwise(_whole())).drop("day", "hour", "hot_day", "hot_hour")
+
+        marked = lambda df: df.join(F.broadcast(hot), "k", "left")
+        refs_s, log_s = sliced(marked(refs), F.col("t"), spread), sliced(marked(log), F.col("t"), _whole())
+        # State carried into each slice of a hot key: its last change in earlier slices.
+        timed = F.when(F.year("minute") > 1, F.col("minute"))
+        per_slice = sliced(minutes.withColumn("hot", F.lit(True)), timed, F.col("minute")).groupBy("k", "slice").agg(F.max("last").alias("last"))
+        before = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = per_slice.withColumn("w", F.last("last", ignorenulls=True).over(before)["w"]).join(first, "k", "left").select("k", "slice", "w", "first_t")
+        headers = header(whole.join(F.broadcast(hot), "k", "left_anti").unionByName(carried))
     changes = log_s.select("k", "slice", "t", F.lit(1).alias("kind"), "seq", "w", none("timestamp_ntz").alias("first_t"), none("string").alias("id"), none("string").alias("src"))
     uses = refs_s.select("k", "slice", "t", F.lit(2).alias("kind"), none("bigint").alias("seq"), none("int").alias("w"), none("timestamp_ntz").alias("first_t"), "id", "src")
-    return header.unionByName(changes).unionByName(uses)
+    return headers.unionByName(changes).unionByName(uses)
 
 
 def classify_references(children: Mapping[str, References], parent: ParentLog, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
