@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from tidewheel.llm.packing import best_fit_decreasing, bin_completion, fillings, lower_bound, pack, packing_report
+from tidewheel.llm.packing import Budget, best_fit_decreasing, bin_completion, fillings, lower_bound, pack, packing_report
 
 ITEMS = "id bigint, n int, container string, bin_id string, piece int"
 BOXES = "container string, capacity_tokens int"
@@ -46,11 +46,61 @@ def test_small_packings_are_optimal():
     assert len(bin_completion([6, 5, 5, 4, 4, 3, 3], 10)) == 3
 
 
-def test_fillings_are_feasible_and_maximal():
-    values, counts = [7, 5, 3, 2], [1, 2, 2, 1]
-    for waste, f in fillings(values, counts, 10, 100):
-        assert sum(values[k] for k in f) == 10 - waste and all(f.count(k) <= counts[k] for k in f)
-        assert not any(values[k] <= waste and counts[k] > f.count(k) for k in range(4))
+def all_fillings(values, counts, room):
+    """Brute force: every feasible multiset that is maximal and has no single swap."""
+    out = set()
+    for pick in itertools.product(*[range(c + 1) for c in counts]):
+        left = room - sum(n * v for n, v in zip(pick, values))
+        if left < 0 or any(v <= left and n < c for n, v, c in zip(pick, values, counts)):
+            continue
+        if any(pick[k] and pick[j] < counts[j] and values[j] - values[k] <= left for k in range(len(values)) for j in range(k)):
+            continue
+        out.add((left, tuple(k for k, n in enumerate(pick) for _ in range(n))))
+    return out
+
+
+def test_fillings_are_all_undominated_ones():
+    rnd = random.Random(7)
+    for _ in range(200):
+        values = sorted(rnd.sample(range(1, 30), rnd.randrange(1, 7)), reverse=True)
+        counts = [rnd.randrange(0, 4) for _ in values]
+        room, waste = rnd.randrange(0, 60), rnd.choice([0, 3, 100])
+        got = [(w, tuple(f)) for w, f in fillings(values, counts, room, waste, Budget(None))]
+        assert len(got) == len(set(got))
+        assert set(got) == {f for f in all_fillings(values, counts, room) if f[0] <= waste}
+
+
+def test_exact_mode_is_optimal():
+    """Ten to sixteen items where best fit misses the bound: the complete search finds the optimum, the bounded one too at this size."""
+    assert len(bin_completion([16, 33, 34, 24, 43, 16, 47, 35, 39, 16, 50, 45], 100)) == 4
+    rnd = random.Random(11)
+    hard = improved = 0
+    while hard < 150:
+        cap = rnd.choice([50, 100, 200])
+        sizes = [rnd.randrange(max(1, cap // 7), cap // 2 + 2) for _ in range(rnd.randrange(10, 17))]
+        falling = sorted(sizes, reverse=True)
+        first = len(best_fit_decreasing(falling, cap))
+        if first == lower_bound(sizes, cap):
+            continue
+        hard += 1
+        exact = bin_completion(sizes, cap, None)
+        assert sorted(i for b in exact for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= cap for b in exact)
+        assert len(exact) == optimum(falling, cap) == len(bin_completion(sizes, cap))
+        improved += len(exact) < first
+    assert improved > 30
+
+
+def test_lower_bound_looks_at_every_threshold():
+    rnd = random.Random(3)
+    for _ in range(200):
+        cap = rnd.choice([20, 101, 1000])
+        sizes = [rnd.randrange(1, cap + 1) for _ in range(rnd.randrange(1, 120))]
+        best = -(-sum(sizes) // cap)
+        for k in range(cap // 2 + 1):
+            big, half = [s for s in sizes if s > cap - k], [s for s in sizes if cap - k >= s > cap / 2]
+            small = sum(s for s in sizes if k <= s <= cap / 2)
+            best = max(best, len(big) + len(half) + max(0, -(-(small - (len(half) * cap - sum(half))) // cap)))
+        assert lower_bound(sizes, cap) == best
 
 
 def check(spark, rows, boxes, **kw):

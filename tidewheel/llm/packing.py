@@ -2,10 +2,16 @@
 
 Items are dealt by a hash of their id into groups of about ``group_items`` and
 every group is packed by bin completion: starting from a best-fit-decreasing
-incumbent, a branch-and-bound takes the largest item left, enumerates undominated
-fillings of the room beside it, best first, and prunes where the room wasted so
-far exceeds what any better packing may waste.  A group ends when the lower bound
-is met or ``nodes`` fillings were tried; the incumbent stands then.
+incumbent, a branch-and-bound takes the largest item left, enumerates the
+undominated fillings of the room beside it and prunes where the room wasted so
+far exceeds what any better packing may waste.  Fillings are enumerated lazily,
+all of them if need be: ``look`` at a time, each such lot with the least waste
+first.  A group ends when the lower bound is met, when nothing is left to try
+(the incumbent is optimal then), or when its budget is spent: ``nodes`` fillings
+tried, and STEPS times as many steps of their enumeration.  Half of the budget
+goes to a search that tries only ``width`` fillings per branch, so that it does
+not stay at the bottom of the tree, the rest to the complete one.  With
+``nodes=None`` there is no budget and every group is packed optimally.
 
 The emptiest container of each group stays open: its items move on to a next
 round, in which FAN groups share one, until one group is left.  So the room lost
@@ -23,8 +29,9 @@ columns are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,8 +43,9 @@ GROUP_ITEMS = 2_000
 FAN = 32
 NODES = 2_000
 MAX_CONTAINERS = 1_000
-_WIDTH = 6  # fillings tried per branch
-_LOOK = 60  # fillings enumerated per branch
+WIDTH = 6
+LOOK = 60
+STEPS = 200
 
 
 def best_fit_decreasing(sizes: Sequence[int], capacity: int) -> list[list[int]]:
@@ -57,70 +65,94 @@ def best_fit_decreasing(sizes: Sequence[int], capacity: int) -> list[list[int]]:
 
 
 def lower_bound(sizes: Sequence[int], capacity: int) -> int:
-    """Containers that any packing needs: by volume, and by items over half."""
-    total = sum(sizes)
-    best = -(-total // capacity)
-    for k in sorted({s for s in sizes if 2 * s <= capacity})[:50] or [0]:
+    """Containers that any packing needs: by volume, and by items over half, for every threshold."""
+    rising = sorted(sizes)
+    upto = [0, *accumulate(rising)]
+    best = -(-upto[-1] // capacity)
+    half_at = bisect_right(rising, capacity // 2)  # from here on more than half
+    for k in sorted({0, *rising[:half_at]}):
         # Items over capacity - k take a container each and no item of k or more beside them.
-        big = [s for s in sizes if s > capacity - k]
-        half = [s for s in sizes if capacity - k >= s > capacity / 2]
-        small = sum(s for s in sizes if k <= s <= capacity / 2)
-        spare = len(half) * capacity - sum(half)
-        best = max(best, len(big) + len(half) + max(0, -(-(small - spare) // capacity)))
+        big_at = max(half_at, bisect_right(rising, capacity - k))
+        half = upto[big_at] - upto[half_at]
+        small = upto[half_at] - upto[bisect_left(rising, k)]
+        spare = (big_at - half_at) * capacity - half
+        best = max(best, len(rising) - half_at + max(0, -(-(small - spare) // capacity)))
     return best
 
 
-def fillings(values: list[int], counts: list[int], room: int, look: int) -> list[tuple[int, list[int]]]:
-    """Undominated fillings of ``room`` as (waste, positions in ``values``), least waste first.
+class Budget:
+    """Fillings and steps left; without a limit if ``nodes`` is None."""
 
-    ``values`` are the distinct sizes left in falling order.  A filling is left
-    out if another item still fits, or if swapping one of its items for a larger
-    unused one would still fit.
+    def __init__(self, nodes: int | None):
+        self.nodes = float("inf") if nodes is None else nodes
+        self.steps = self.nodes * STEPS
+
+    @property
+    def spent(self) -> bool:
+        return self.nodes <= 0 or self.steps <= 0
+
+
+def fillings(values: list[int], counts: list[int], room: int, most_waste: int, budget: Budget) -> Iterator[tuple[int, list[int]]]:
+    """All undominated fillings of ``room`` that waste at most ``most_waste``, as (waste, positions in ``values``).
+
+    ``values`` are the distinct sizes in falling order, ``counts`` how many of each
+    are left.  A filling is left out if another item still fits, or if one of its
+    items can be swapped for a larger unused one.  Ends early only with the budget.
     """
-    found: list[tuple[int, list[int]]] = []
-    stack: list[tuple[int, int, list[int]]] = [(0, room, [])]
-    steps = 0
-    while stack and len(found) < look and steps < 20 * look:
-        steps += 1
-        start, left, chosen = stack.pop()
-        options = []
-        for k in range(start, len(values)):
-            if values[k] <= left and counts[k] - chosen.count(k) > 0:
-                options.append(k)
-                if len(options) == 3:
-                    break
-        if options:
-            stack += [(k, left - values[k], [*chosen, k]) for k in reversed(options)]
-            continue
-        if any(values[k] <= left and counts[k] - chosen.count(k) > 0 for k in range(len(values) - 1, -1, -1) if values[k] <= left):
+    n, free = len(values), list(counts)
+    rising = [-v for v in values]
+    suffix = [0] * (n + 1)
+    for k in range(n - 1, -1, -1):
+        suffix[k] = suffix[k + 1] + values[k] * counts[k]
+    chosen: list[int] = []
+    # Frames: next position, room left, least size skipped though it was there, whether anything fitted.
+    stack = [[bisect_left(rising, -room), room, room + 1, False]]
+    while stack and not budget.spent:
+        budget.steps -= 1
+        frame = stack[-1]
+        k, left, skipped, _ = frame
+        while k < n and not free[k]:
+            k += 1
+        # What is left of the room must end up below every size that was skipped.
+        fill = (suffix[k + 1] + values[k] * free[k]) if k < n else 0
+        if k == n or left - fill >= skipped or left - fill > most_waste:
+            if k == n and not frame[3] and left < skipped and left <= most_waste and not _swappable(values, free, chosen, left):
+                yield left, list(chosen)
+            stack.pop()
+            if chosen:
+                free[chosen.pop()] += 1
             continue
-        swap = False
-        for k in set(chosen):
-            j = k - 1
-            if j >= 0 and values[j] <= values[k] + left and counts[j] - chosen.count(j) > 0:
-                swap = True
-                break
-        if not swap:
-            found.append((left, chosen))
-            if left == 0 and len(found) >= _WIDTH:
+        frame[0], frame[2], frame[3] = k + 1, values[k], True
+        chosen.append(k)
+        free[k] -= 1
+        stack.append([max(k, bisect_left(rising, values[k] - left)), left - values[k], skipped, False])
+
+
+def _swappable(values: list[int], free: list[int], chosen: list[int], left: int) -> bool:
+    for k in set(chosen):
+        for j in range(k - 1, -1, -1):
+            if values[j] - values[k] > left:
                 break
-    found.sort(key=lambda f: (f[0], len(f[1]), f[1]))
-    return found
+            if free[j]:
+                return True
+    return False
 
 
-def bin_completion(sizes: Sequence[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+def bin_completion(sizes: Sequence[int], capacity: int, nodes: int | None = NODES, width: int = WIDTH, look: int = LOOK) -> list[list[int]]:
     """Containers as lists of positions of ``sizes`` (any order, all in 1..capacity)."""
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     falling = [sizes[i] for i in order]
     incumbent = best_fit_decreasing(falling, capacity)
     need = lower_bound(falling, capacity)
-    if len(incumbent) > need:
-        better = _search(falling, capacity, len(incumbent), need, nodes)
-        incumbent = better or incumbent
+    searches = [(None, None)] if nodes is None else [(nodes // 2, width), (nodes - nodes // 2, None)]
+    for part, most in searches:
+        if len(incumbent) > need:
+            incumbent = _search(falling, capacity, len(incumbent), need, Budget(part), most, look) or incumbent
     return [[order[i] for i in b] for b in incumbent]
 
 
-def _search(falling: list[int], capacity: int, best: int, need: int, nodes: int) -> list[list[int]] | None:
+def _search(falling: list[int], capacity: int, best: int, need: int, budget: Budget, width: int | None, look: int) -> list[list[int]] | None:
+    """A packing into fewer than ``best`` containers, or None if there is none or the budget is spent."""
     values = sorted(set(falling), reverse=True)
     where: dict[int, list[int]] = {v: [] for v in values}
     for i, s in enumerate(falling):
@@ -130,17 +162,24 @@ def _search(falling: list[int], capacity: int, best: int, need: int, nodes: int)
     path: list[list[int]] = []  # the sizes (positions in values) of each container chosen
     waste = 0
 
-    def branch():
+    def branch(spare: int) -> Iterator[tuple[int, list[int]]]:
         top = next(k for k, c in enumerate(counts) if c)
-        counts[top] -= 1
-        options = fillings(values, counts, capacity - values[top], _LOOK)[:_WIDTH]
-        counts[top] += 1
-        return [(w, [top, *f]) for w, f in options], 0
-
-    frames = [branch()]
-    while frames and nodes > 0:
-        options, at = frames[-1]
-        if at >= len(options):
+        own = list(counts)
+        own[top] -= 1
+        lazily = fillings(values, own, capacity - values[top], spare, budget)
+        tried = 0
+        while lot := list(islice(lazily, look)):
+            lot.sort(key=lambda f: (f[0], len(f[1]), f[1]))
+            for w, f in lot:
+                if tried == width:
+                    return
+                tried += 1
+                yield w, [top, *f]
+
+    frames = [branch((best - 1) * capacity - total)]
+    while frames and not budget.spent:
+        option = next(frames[-1], None)
+        if option is None:
             frames.pop()
             if path:
                 done = path.pop()
@@ -148,9 +187,8 @@ def _search(falling: list[int], capacity: int, best: int, need: int, nodes: int)
                     counts[k] += 1
                 waste -= capacity - sum(values[k] for k in done)
             continue
-        frames[-1] = (options, at + 1)
-        w, chosen = options[at]
-        nodes -= 1
+        w, chosen = option
+        budget.nodes -= 1
         if waste + w > (best - 1) * capacity - total:  # no better packing may waste that much
             continue
         path.append(chosen)
@@ -163,19 +201,19 @@ def _search(falling: list[int], capacity: int, best: int, need: int, nodes: int)
                 result = [[next(pools[k]) for k in c] for c in path]
                 if best <= need:
                     return result
-            frames.append(([], 0))
+            frames.append(iter(()))
         else:
-            frames.append(branch())
+            frames.append(branch((best - 1) * capacity - total - waste))
     return result
 
 
-def _packed(pdf: pd.DataFrame, nodes: int, last: bool) -> pd.DataFrame:
+def _packed(pdf: pd.DataFrame, nodes: int | None, width: int, look: int, last: bool) -> pd.DataFrame:
     """One group: containers numbered, the emptiest one marked open."""
     pdf = pdf.sort_values(["tokens", "item_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     capacity = int(pdf["capacity"].iloc[0])
     sizes = pdf["tokens"].tolist()
     positive = sum(1 for s in sizes if s > 0)
-    bins = bin_completion(sizes[:positive], capacity, nodes)
+    bins = bin_completion(sizes[:positive], capacity, nodes, width, look)
     if positive < len(sizes):
         bins = bins or [[]]
         bins[0] = [*bins[0], *range(positive, len(sizes))]
@@ -190,11 +228,11 @@ def _packed(pdf: pd.DataFrame, nodes: int, last: bool) -> pd.DataFrame:
     return pdf
 
 
-def _packer(nodes: int, last: bool):
-    return lambda pdf: _packed(pdf, nodes, last)
+def _packer(nodes: int | None, width: int, look: int, last: bool):
+    return lambda pdf: _packed(pdf, nodes, width, look, last)
 
 
-def pack(items: DataFrame, containers: DataFrame, item_id: str, tokens: str, group_items: int = GROUP_ITEMS, nodes: int = NODES) -> DataFrame:
+def pack(items: DataFrame, containers: DataFrame, item_id: str, tokens: str, group_items: int = GROUP_ITEMS, nodes: int | None = NODES, width: int = WIDTH, look: int = LOOK) -> DataFrame:
     """(container, bin_id, item_id, piece, start_token, tokens), a row per item and piece."""
     kinds = [
         (r[0], int(r[1]))
@@ -226,7 +264,7 @@ def pack(items: DataFrame, containers: DataFrame, item_id: str, tokens: str, gro
         last = groups == 1
         schema = f"container string, capacity bigint, item_id {id_type}, piece int, start_token bigint, tokens bigint, g bigint, bin int, open boolean"
         grouped = rest.withColumn("g", F.pmod(F.xxhash64("item_id", F.lit(turn)), F.lit(groups)) if turn == 0 else F.expr(f"g div {FAN}"))
-        done = cut_lineage(grouped.select(*cols, "g").groupBy("container", "g").applyInPandas(_packer(nodes, last), schema))
+        done = cut_lineage(grouped.select(*cols, "g").groupBy("container", "g").applyInPandas(_packer(nodes, width, look, last), schema))
         bin_id = F.concat_ws(":", F.lit(str(turn)), F.col("g").cast("string"), F.col("bin").cast("string"))
         out = out.unionByName(done.where("NOT open").select("container", bin_id.alias("bin_id"), "item_id", "piece", "start_token", "tokens"))
         if last:
