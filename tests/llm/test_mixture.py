@@ -3,9 +3,10 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
-from tidewheel.llm.mixture import draw, expected, mean_for, mix, plan_mixture, read_targets, shares, sizes_of, thresholds
+from tidewheel.llm.mixture import draw, expected, fit, mean_for, mix, plan_mixture, read_targets, shares, sizes_of, thresholds
 
 DOCS = "doc bigint, src string, n int, source string, copy int, tokens string"
 TARGETS = "source string, target_share double, max_repeats int"
@@ -77,3 +78,22 @@ def test_total_and_empty(spark):
         assert m.count() == 0
         assert all(r.actual_share == 0 for r in rep.collect())
     assert shares(m, {}).count() == 0
+
+
+def test_fitted_mean_draws_the_goal():
+    rnd = random.Random(9)
+    for n, most in ((50, 1), (5000, 3)):
+        docs = [(rnd.random(), rnd.choice([1, 10, 500])) for _ in range(n)]
+        tokens = np.zeros(65_536)
+        for u, k in docs:
+            tokens[int(u * 65_536)] += k
+        goal = 0.4 * most * sum(k for _, k in docs)
+        levels = thresholds(fit(tokens, goal, most), most)
+        assert abs(sum(k * sum(u >= t for t in levels) for u, k in docs) - goal) <= 1000 * most
+
+
+def test_report_shows_both_means(spark):
+    df, t = frames(spark, [(i, "a", 1 + i % 50) for i in range(3000)] + [(5000 + i, "b", 9) for i in range(3000)], [("a", 0.9, 1), ("b", 0.1, 4)])
+    rep = {r.source: r for r in mix(df, t, "doc", "src", "n")[1].collect()}
+    assert math.isinf(rep["a"].poisson_mean) and math.isinf(rep["a"].fitted_mean)
+    assert 0 < abs(rep["b"].fitted_mean / rep["b"].poisson_mean - 1) < 0.2

@@ -10,12 +10,14 @@ Total and rates.  The mixture is as large as the targets and caps allow: the
 source that would have to be repeated most is used up to its cap, and the others
 follow their shares of that total (or of ``total``, if given and smaller).
 Sources that hold nothing take no part; their share is dealt to the others in
-proportion.  The Poisson mean of a source is first set so that the expected
-number of repeats is the target rate, then corrected with the actual draws: three
-passes sum the tokens that a grid of means would give, so the share reached is
-off by about one document instead of by the noise of uneven lengths.
+proportion.  The Poisson mean of a source is the one whose expected number of
+repeats is the target rate; it is then fitted to the draws themselves, since
+lengths are uneven: tokens are counted once per source and SLOTS equal parts of the
+uniform number, which gives the tokens that any mean would draw, and the mean whose
+tokens come nearest to the goal is taken.  The report shows both means.
 
-The driver holds a few numbers per source; MAX_SOURCES bounds them.
+The driver holds a few numbers per source; MAX_SOURCES bounds them.  Thresholds of
+the draws are a small table that is joined, not literals of the plan.
 
 Defined cases: documents with a null id, a null source or a source without target
 are left out; repeated ids count once; a null size is 0; targets that are null,
@@ -29,13 +31,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.session import cut_lineage
+from tidewheel.session import written
 
 MAX_SOURCES = 10_000
-_GRID = 33
+SLOTS = 65_536
 
 
 @dataclass
@@ -48,7 +52,8 @@ class Plan:
     available: int = 0
     goal: float = 0.0
     rate: float = 0.0
-    mean: float = 0.0
+    mean: float = 0.0  # of the target rate
+    fitted: float = 0.0  # of the draws
 
 
 def thresholds(mean: float, most: int) -> list[float]:
@@ -85,8 +90,23 @@ def _uniform(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(2**53)) / F.lit(float(2**53))
 
 
-def _count(levels: Column, u: Column) -> Column:
-    return F.size(F.filter(levels, lambda t: u >= t))
+def fit(tokens: np.ndarray, goal: float, most: int) -> float:
+    """The Poisson mean that draws about ``goal`` tokens, given those per slot of the uniform number."""
+    n = len(tokens)
+    tail = np.r_[np.cumsum(tokens[::-1])[::-1], 0]  # tokens at or above a slot
+
+    def drawn(mean: float) -> float:
+        at = np.array(thresholds(mean, most)) * n
+        low = np.minimum(np.floor(at).astype(int), n - 1)
+        return float((tail[low] - (at - low) * tokens[low]).sum())
+
+    lo, hi = 0.0, 1.0
+    while drawn(hi) < goal and hi < 1e6:
+        hi *= 2
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if drawn(mid) < goal else (lo, mid)
+    return (lo + hi) / 2
 
 
 def read_targets(targets: DataFrame) -> dict[str, Plan]:
@@ -111,42 +131,43 @@ def plan_mixture(sized: DataFrame, plans: dict[str, Plan], seed: int, total: flo
         p.goal = size * p.share / whole
         p.rate = p.goal / p.available
         p.mean = mean_for(p.rate, p.max_repeats)
-    # Means to try: first from 1/8 to 8 times the expected one, then twice between the best one's neighbours.
-    live_open = [p for p in live if not math.isinf(p.mean)]
-    half = _GRID // 2
-    grids = {p.source: [p.mean * 8.0 ** ((j - half) / half) for j in range(_GRID)] for p in live_open}
-    for _ in range(3 if live_open else 0):
-        # Per source the levels of all means, one literal map for all of them.
-        levels = F.create_map(*[x for p in live_open for x in (F.lit(p.source), F.array(*[F.lit(thresholds(m, p.max_repeats)) for m in grids[p.source]]))])
-        drawn = sized.withColumn("u", _uniform(seed)).withColumn("levels", F.try_element_at(levels, F.col("source"))).where("levels is not null")
-        sums = drawn.groupBy("source").agg(*[F.sum(F.col("tokens") * _count(F.get("levels", F.lit(j)), F.col("u"))).alias(f"s{j}") for j in range(_GRID)]).collect()  # a row per source
-        for r in sums:
-            p, grid = plans[r.source], grids[r.source]
-            j = min(range(_GRID), key=lambda j: (abs(r[f"s{j}"] - p.goal), abs(j - half)))  # noqa: B023
-            p.mean = grid[j]
-            lo, hi = grid[max(0, j - 1)], grid[min(_GRID - 1, j + 1)]
-            grids[r.source] = [lo + (hi - lo) * k / (_GRID - 1) for k in range(_GRID)]
+        p.fitted = p.mean
+    goals = [(p.source, float(p.goal), p.max_repeats) for p in live if not math.isinf(p.mean)]
+    if goals:
+        slots = sized.withColumn("slot", F.floor(_uniform(seed) * SLOTS).cast("int")).groupBy("source", "slot").agg(F.sum("tokens").alias("tokens"))
+        wanted = F.broadcast(sized.sparkSession.createDataFrame(goals, "source string, goal double, most int"))  # at most MAX_SOURCES rows
+
+        def of_source(pdf: pd.DataFrame) -> pd.DataFrame:
+            tokens = np.zeros(SLOTS)
+            tokens[pdf["slot"].to_numpy()] = pdf["tokens"].to_numpy(dtype=float)
+            return pd.DataFrame({"source": pdf["source"].iloc[:1], "fitted": [fit(tokens, pdf["goal"].iloc[0], int(pdf["most"].iloc[0]))]})
+
+        for r in slots.join(wanted, "source").groupBy("source").applyInPandas(of_source, "source string, fitted double").collect():  # a row per source
+            plans[r.source].fitted = r.fitted
     return plans
 
 
 def sizes_of(docs: DataFrame, plans: dict[str, Plan], doc_id: str, source: str, tokens: str) -> DataFrame:
     """(doc_id, source, tokens) of the listed sources, each document once, cut from its lineage."""
-    known = F.lit(sorted(plans)) if plans else F.array().cast("array<string>")
-    return cut_lineage(
+    listed = docs.sparkSession.createDataFrame([(s,) for s in sorted(plans)], "source string")
+    return written(
         docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("tokens"))
-        .where(F.col("doc_id").isNotNull() & F.array_contains(known, F.col("source")))
-        .dropDuplicates(["doc_id"])
+        .where("doc_id is not null").join(F.broadcast(listed), "source", "left_semi")
+        .select("doc_id", "source", "tokens").dropDuplicates(["doc_id"])
     )
 
 
+def _levels(spark: SparkSession, plans: dict[str, Plan]) -> DataFrame:
+    """The thresholds of each source that holds something; at most MAX_SOURCES rows."""
+    live = [(p.source, thresholds(p.fitted, p.max_repeats)) for p in plans.values() if p.available > 0]
+    return F.broadcast(spark.createDataFrame(live, "source string, levels array<double>"))
+
+
 def draw(sized: DataFrame, plans: dict[str, Plan], seed: int) -> DataFrame:
     """(doc_id, copy, source, tokens, mix_key), shuffled globally in the order of mix_key."""
-    live = [p for p in plans.values() if p.available > 0]
-    if not live:
-        return sized.where("false").select("doc_id", F.lit(1).alias("copy"), "source", "tokens", F.lit(0).cast("bigint").alias("mix_key"))
-    levels = F.create_map(*[x for p in live for x in (F.lit(p.source), F.lit(thresholds(p.mean, p.max_repeats)))])
-    n = F.coalesce(_count(F.try_element_at(levels, F.col("source")), _uniform(seed)), F.lit(0))
-    copies = sized.withColumn("n", n).where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"), "source", "tokens")
+    drawn = sized.withColumn("u", _uniform(seed)).join(_levels(sized.sparkSession, plans), "source")
+    n = F.size(F.filter("levels", lambda t: F.col("u") >= t))
+    copies = drawn.withColumn("n", n).where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"), "source", "tokens")
     keyed = copies.withColumn("mix_key", F.xxhash64("doc_id", "copy", F.lit(seed + 1)))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
 
@@ -164,7 +185,8 @@ def shares(mixture: DataFrame, plans: dict[str, Plan]) -> DataFrame:
     """Per listed source: target, what there is, what was taken and the share reached."""
     spark = mixture.sparkSession
     goal = spark.createDataFrame(
-        [(p.source, p.share, p.max_repeats, p.available, p.rate) for p in plans.values()], "source string, target_share double, max_repeats int, available_tokens bigint, target_repeats double"
+        [(p.source, p.share, p.max_repeats, p.available, p.rate, p.mean, p.fitted) for p in plans.values()],
+        "source string, target_share double, max_repeats int, available_tokens bigint, target_repeats double, poisson_mean double, fitted_mean double",
     )
     per_doc = mixture.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
     got = per_doc.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("copies"), F.max("n").alias("most_repeats"), F.sum("tokens").alias("mixed_tokens"))
