@@ -22,6 +22,16 @@ CASES = [
     ["Գյուղը 1900 թ. գարնանը։", "Ո՞վ վաճառեց այն։", "«Կմնա։ Կպահպանենք»,— ասաց նա։"],
     ["“यह कहाँ है?” नाद ने पूछा।", "नाद ने कहा, “नहीं बिकेगा। बचाएँगे।”", "1.5 वर्ग कि.मी. है और डॉ. नाद हैं।", "क्या यह है?"],
     ["قال د. نادر: «لن تباع. سنحميها».", "من باع؟", "احترقت عام 1812 م. تقريبًا، ثم رممت!", "كانت مهجورة…", "هي 1.5 كم²."],
+    # months, titles and short forms of more languages; behind a name they may end a sentence too
+    ["On Jan. Fifth the Univ. Press of Exeter moved.", "Acme Corp. Holdings and John Doe Jr. Smith stayed.", "It was bought by John Doe Jr. in 1950.", "He left it to James Roe Jr.", "The mill closed."],
+    ["Il sig. Rossi e la dott. Bianchi restano.", "Poi vanno via."],
+    ["O Exmo. Senhor Silva falou.", "Ele saiu."],
+    ["Dhr. Jansen en Mevr. Smit wonen hier.", "Zij blijven."],
+    # scripts with full stops of their own
+    ["ይህ ቤት ነው።", "ያ ዛፍ ነው።", "ማን መጣ፧"],
+    ["ဒါက အိမ် ဖြစ်သည်။", "သူ လာသည်။"],
+    ["នេះជាផ្ទះ។", "គាត់មក។"],
+    ["འདི་ཁང་པ་ཡིན།", "ཁོ་ཡོང་གི་རེད།"],
 ]
 GLUED = [
     ["它在哪里。", "“在哪里？”他问道。", "他说：“不能卖。要保护。”", "叫《桥。事》，流传。", "宽14.70km……", "谁？", "有（又名。某）的！"],
@@ -80,6 +90,15 @@ def test_odd_texts(spark):
     assert sentence_spans(df.where("false")).count() == 0
 
 
+def test_positions_in_texts_of_many_lines(spark):
+    text = "\n".join(f"Line {i} ends. So does {'x' * (i % 7)} this" for i in range(1500))
+    df = spark.createDataFrame([(1, text, "", "", 1, "", ""), (2, text[:9000], "", "", 1, "", "")], SCHEMA)
+    got = [r.sentence for r in sorted(sentences(df).where("doc_id = 1").collect(), key=lambda r: r.start_pos)]
+    assert got == [s for i in range(1500) for s in (f"Line {i} ends.", f"So does {'x' * (i % 7)} this")]
+    long_line = " ".join(f"Mill {i} was sold." for i in range(3000))
+    assert cut(spark, long_line) == [f"Mill {i} was sold." for i in range(3000)]
+
+
 def test_very_long_line(spark):
     text = "The mill was sold in 1900. " * 4000 + "X" + "x" * 200_000
     df = spark.createDataFrame([(1, text, "", "", 1, "", "")], SCHEMA)

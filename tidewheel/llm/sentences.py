@@ -23,8 +23,11 @@ A pair of brackets or quotation marks is looked for within one line.
 
 Defined cases: null and empty texts and lines without letters of their own give
 no rows for their blank lines; repeated rows give each sentence once; very long
-lines are handled in time linear in their length but for the table of positions;
-other columns are not read.
+lines are handled in time linear in their length, but for the table of positions,
+which is built in blocks; other columns are not read.
+
+Not decided: in a line all in capitals nothing tells a name that ends in ! or ?
+from the end of a sentence, so such a name ends one.
 """
 
 from __future__ import annotations
@@ -33,13 +36,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _M, _SEP = "\\ue000", "\\ue001"
-_BLANK = "\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# Members of character classes.  Rare characters are in a class of their own behind a range or two, so that those of the
+# common scripts fail after a few tests.
+_BLANK = "\\s\\u00a0[\\u1680-\\u3000&&[\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]]"
 _BLANK_CHARS = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_ANY = ".!?…;。．！？｡।॥։؟۔\\u037e"  # marks that can be masked
-_STRONG = "。．！？｡।॥։؟۔"
-# Guards in front of long classes: letters of the common scripts fail after two tests.
-_ANY_G = f"!.;?\\u037e\\u0589-\\uffff&&[{_ANY}]"
-_ANY_BLANK_G = "\\u0000-?\\u0085\\u00a0\\u037e\\u0589-\\uffff&&[" + _ANY + _BLANK + "]"
+# Unicode's Sentence_Terminal characters of the basic plane but for . ! ?, and the Tibetan shads; a class for each
+# stretch of scripts behind its range.
+_STRONG = (
+    "[\\u0589-\\uffff&&["
+    "[\\u0589-\\u06d4&&[\\u0589\\u061d-\\u061f\\u06d4]]"
+    "[\\u0700-\\u083e&&[\\u0700-\\u0702\\u07f9\\u0837\\u0839\\u083d\\u083e]]"
+    "[\\u0964-\\u0965]"
+    "[\\u0f0d-\\u1c7f&&[\\u0f0d\\u0f0e\\u104a\\u104b\\u1362\\u1367\\u1368\\u166e\\u1735\\u1736\\u17d4\\u17d5\\u1803\\u1809\\u1944\\u1945\\u1aa8-\\u1aab\\u1b5a\\u1b5b\\u1b5e\\u1b5f\\u1b7d-\\u1b7f\\u1c3b\\u1c3c\\u1c7e\\u1c7f]]"
+    "[\\u203c-\\u2e54&&[\\u203c\\u203d\\u2047-\\u2049\\u2e2e\\u2e3c\\u2e53\\u2e54]]"
+    "\\u3002"
+    "[\\ua4ff-\\uabeb&&[\\ua4ff\\ua60e\\ua60f\\ua6f3\\ua6f7\\ua876\\ua877\\ua8ce\\ua8cf\\ua92f\\ua9c8\\ua9c9\\uaa5d-\\uaa5f\\uaaf0\\uaaf1\\uabeb]]"
+    "[\\ufe52-\\uff61&&[\\ufe52\\ufe56\\ufe57\\uff01\\uff0e\\uff1f\\uff61]]"
+    "]]"
+)
+_ANY = ".!?…;\\u037e" + _STRONG  # marks that can be masked
 _CLOSE = "”’»)\\]」』》〉）】\"›"
 _OPEN = "“„«‘¿¡(\\[「『《〈（【\"‹\\u2039"
 _CASELESS = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}\\p{IsDevanagari}\\p{IsBengali}\\p{IsArabic}\\p{IsHebrew}\\p{IsTamil}\\p{IsTelugu}"
@@ -57,12 +72,25 @@ ABBREVIATIONS = {
     "ar": "د أ م ص",
     "hy": "թ հ էջ պրոֆ",
 }
+# More titles, months and short forms, by language.
+MORE_ABBREVIATIONS = {
+    "en": "Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Mon Tue Tues Wed Thu Thurs Fri Sat Univ Dept Assn Inst Intl Natl Ave Blvd Hwy Bldg Supt Atty Bros Brig Insp Cllr approx misc est",
+    "it": "sig Sig sigg Sigg sigra dott Dott dottssa avv Avv geom Geom rag cav Cav egr Egr spett Spett pagg",
+    "pt": "Exmo Exma Exmos Exmas Ilmo Ilma Profa Sras Srs Eng Enga",
+    "nl": "Dhr dhr Mevr mevr Mw mw Drs drs blz Blz bijv",
+    "pl": "św inż mgr płk ppłk hab tzw tzn",
+    "sv": "dvs resp fr.o.m t.o.m bl.a t.ex s.k",
+    "tr": "Doç Sn Cad Sok Mah",
+}
+# Short forms behind a name that may also end a sentence, which they do before one of the words below.
+TRAILING_ABBREVIATIONS = "Jr Sr Corp Esq"
+SENTENCE_STARTERS = "A An And As At Before But By During For From He Her His However If In It Its Later Many Most No On Since She Some That The Their Then There These They This Those Under Until Was We What When Where While Who Why With You"
 # In lines all in capitals also these.
 CAPITAL_ABBREVIATIONS = "ETC INC CO YRS P.M A.M U.N.E HAB USW FF EJ CF AL VS ED DRX ЧЕЛ РУБ Т.Е ΔΡΧ"
 # What follows a German ordinal of one or two digits.
 AFTER_ORDINALS = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert|Jahrhunderts|Jh|Jahrtausend|Klasse|Kapitel|Auflage|Platz|Band"
 
-_WORDS = sorted({w for ws in ABBREVIATIONS.values() for w in ws.split()}, key=lambda w: (-len(w), w))
+_WORDS = sorted({w for table in (ABBREVIATIONS, MORE_ABBREVIATIONS) for ws in table.values() for w in ws.split()}, key=lambda w: (-len(w), w))
 
 
 def _alternatives(words) -> str:
@@ -97,9 +125,9 @@ def _segments(line: str) -> str:
     prev = "CASE WHEN i = 0 THEN '' ELSE segs[i - 1] END"
     after = "CASE WHEN i + 1 < size(segs) THEN segs[i + 1] ELSE '' END"
     opens = f"left(s, 1) NOT IN ('(', '（', '【') AND ({after}) RLIKE {_q(caseless)} AND (({prev}) LIKE '<ref%' OR ({prev}) RLIKE {_q(ended)})"
-    all_masked = f"regexp_replace(s, {_q(f'[{_ANY_BLANK_G}]')}, '{_M}')"
+    all_masked = f"regexp_replace(s, {_q(f'[{_ANY}{_BLANK}]')}, '{_M}')"
     # all but the marks right before the closing sign
-    inner_masked = f"regexp_replace(s, {_q(f'[{_ANY_BLANK_G}](?![{_ANY}{_BLANK}]*+(?s:.)\\z)')}, '{_M}')"
+    inner_masked = f"regexp_replace(s, {_q(f'[{_ANY}{_BLANK}](?![{_ANY}{_BLANK}]*+(?s:.)\\z)')}, '{_M}')"
     one = (
         f"CASE WHEN length(s) < 2 OR left(s, 1) NOT IN ('{{', '[', '<', '(', '（', '【', '„', '“', '‘', '«', '‹', '「', '『', '《', '〈', '\"') THEN s "
         f"WHEN left(s, 1) IN ('{{', '[', '<') OR ({opens}) THEN {all_masked} "
@@ -108,7 +136,8 @@ def _segments(line: str) -> str:
     cut = f"regexp_extract_all({line}, {_q('(' + _SEGMENT + ')')}, 1)"
     whole = f"array_join(transform(array({cut}), segs -> array_join(transform(segs, (s, i) -> {one}), '')), '')"
     address = f"\\.(?=[^{_BLANK}])(?<=(?i:://|www)[^{_BLANK}]{{1,200}})"
-    return f"CASE WHEN {line} RLIKE {_q('(?i:://|www\\.)')} THEN regexp_replace({whole}, {_q(address)}, '{_M}') ELSE {whole} END"
+    has_address = " OR ".join(f"contains({line}, '{a}')" for a in ("://", "www.", "WWW.", "Www."))
+    return f"CASE WHEN {has_address} THEN regexp_replace({whole}, {_q(address)}, '{_M}') ELSE {whole} END"
 
 
 def _mask_words(m: str) -> str:
@@ -118,12 +147,13 @@ def _mask_words(m: str) -> str:
     # it may stand right behind the end of a sentence, where the blank was forgotten
     initial = "(?<=(?<![\\p{L}\\p{M}\\p{N}.])\\p{L}\\.|(?<=[\\p{L}\\p{Nd}][\\p{Ll}\\p{Nd})”’»][.!?…])\\p{Lu}\\.)(?<!(?<![\\p{L}])г\\.)(?<!т\\.[ \\u00a0]?[дп]\\.)"
     word = f"(?<!\\p{{Ll}}{{8}}\\.)(?<={before}(?:{_alternatives(_WORDS)})\\.)"
+    trailing = f"(?<={before}(?:{_alternatives(TRAILING_ABBREVIATIONS.split())})\\.)(?=[{_BLANK}]++\\p{{Lu}})(?![{_BLANK}]++(?:{_alternatives(SENTENCE_STARTERS.split())})\\b)"
     ordinal = f"(?=[ \\u00a0](?:{AFTER_ORDINALS})\\b)(?<=(?<![\\p{{N}}.,])\\p{{Nd}}{{1,2}}\\.)"
     # Only a full stop before a blank and no small letter, or before a capital, could end a sentence at all.
     could = f"(?=[{_BLANK}]++[^\\p{{Ll}}]|[{_BLANK}]++\\p{{Ll}}\\p{{Lu}}|[\\p{{Lu}}\\p{{Lo}}{_M}])"
-    reasons = ["(?=[0-9\\p{Nd}])", f"{could}(?:(?<!\\p{{Nd}}\\.)(?:{initial}|{word})|{ordinal})"]
+    reasons = ["(?=[0-9\\p{Nd}])", f"{could}(?:(?<!\\p{{Nd}}\\.)(?:{initial}|{word}|{trailing})|{ordinal})"]
     words = sorted({w.upper() for w in _WORDS} | set(CAPITAL_ABBREVIATIONS.split()), key=lambda w: (-len(w), w))
-    capitals = f"regexp_replace({m}, {_q(f'\\.(?<={before}(?:{_alternatives(words)})\\.)|!(?= TOURED)(?<=HEY!)')}, '{_M}')"
+    capitals = f"regexp_replace({m}, {_q(f'\\.(?<={before}(?:{_alternatives(words)})\\.)')}, '{_M}')"
     line = f"CASE WHEN {m} RLIKE {_q('\\A[^\\p{Ll}]*+\\z')} AND {m} RLIKE {_q('\\p{Lu}[^\\p{Lu}]*+\\p{Lu}')} THEN {capitals} ELSE {m} END"
     pattern = "\\.(?:" + "|".join(reasons) + ")"
     return f"regexp_replace({line}, {_q(pattern)}, '{_M}')"
@@ -140,8 +170,8 @@ def _separated(m: str) -> str:
     follows = f"(?=[{_BLANK}]++{start}|[{_BLANK}]*+\\z|{glued})"
     # A mark first, so that a position without one costs few tests.
     pattern = (
-        f"([.!?][.!?…]*+(?:{closers}{follows}|[{_STRONG}][{_STRONG}.!?…]*+{closers})"
-        f"|[\\u037e;\\u0589-\\uffff&&[;…\\u037e{_STRONG}]](?:(?<=[{_STRONG}])[{_STRONG}.!?…]*+{closers}"
+        f"([.!?][.!?…]*+(?:{closers}{follows}|{_STRONG}[{_STRONG}.!?…]*+{closers})"
+        f"|[;…\\u037e{_STRONG}](?:(?<={_STRONG})[{_STRONG}.!?…]*+{closers}"
         f"|(?<=…)(?:(?=…)…[{_STRONG}…]*+{closers}(?=[^{_BLANK}，、；：,;:—…]|\\z)|(?<![{_BLANK}]…)[.!?…]*+{closers}{follows})"
         f"|(?<=\\p{{IsGreek}}[;\\u037e]){closers}{follows}))"
     )
@@ -157,12 +187,20 @@ _SKIP = (
 )
 
 
+_BLOCK = 256
+
+
 def _starts(array: str, gap: int) -> str:
-    """Where each string of an array starts, if ``gap`` characters lie between two."""
-    return (
-        f"aggregate({array}, named_struct('at', 0, 'all', CAST(array() AS array<int>)), "
-        f"(a, x) -> named_struct('at', a.at + length(x) + {gap}, 'all', array_append(a.all, a.at)), a -> a.all)"
-    )
+    """Where each string of an array starts, if ``gap`` characters lie between two.
+
+    Arrays grow by copying, so long ones are built in blocks, which are then put together.
+    """
+    blocks = f"transform(sequence(0, greatest(size({array}) - 1, 0) div {_BLOCK}), b -> transform(slice({array}, b * {_BLOCK} + 1, {_BLOCK}), x -> length(x) + {gap}))"
+    grow = "named_struct('at', {at}, 'all', CAST(array() AS array<int>)), (a, n) -> named_struct('at', a.at + {n}, 'all', array_append(a.all, a.at)), a -> a.all"
+    first = f"aggregate(bs, {grow.format(at='0', n='aggregate(n, 0, (t, y) -> t + y)')})"
+    inner = f"aggregate(own, {grow.format(at='start', n='n')})"
+    short = f"aggregate({array}, {grow.format(at='0', n=f'length(n) + {gap}')})"
+    return f"CASE WHEN size({array}) <= {_BLOCK} THEN {short} ELSE flatten(transform(array({blocks}), bs -> flatten(zip_with(bs, {first}, (own, start) -> {inner})))) END"
 
 
 def sentence_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
