@@ -277,35 +277,39 @@ def implausible(r: Readings, cfg: ChartConfig = ChartConfig()) -> DataFrame:
         .select("a.*", "b.n", "b.from", "b.to", *[f"{c}{i}" for i in range(k) for c in ("lo", "hi")])
         .withColumn("part", part).drop("n", "from", "to", "place")
     )
-    order = Window.partitionBy("src", "period", "part").orderBy(F.col("at").asc_nulls_first(), "id")
-    upto, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    number = F.row_number().over(order)
-    fresh, first, last, out = {}, {}, {}, {}
-    for i in range(k):
+    slice_ = Window.partitionBy("src", "period", "part").orderBy(F.col("at").asc_nulls_first(), "id")
+    upto, all_ = slice_.rowsBetween(Window.unboundedPreceding, 0), slice_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fields = range(k)
+    marked = {"row": F.row_number().over(slice_), "rows": F.count(F.lit(1)).over(all_)}
+    for i in fields:
         v = F.col(f"v{i}")
-        fresh[f"f{i}"] = F.coalesce(v != F.lag(v).over(order), F.lit(True))  # NaN equals NaN; a null starts a run and ends one
+        marked[f"f{i}"] = F.coalesce(v != F.lag(v).over(slice_), F.lit(True))  # NaN equals NaN; a null starts a run and ends one
         in_control = (v >= F.col(f"lo{i}")) & (v <= F.col(f"hi{i}"))
-        out[f"o{i}"] = v.isNotNull() & ~F.isnan(v) & ~F.coalesce(in_control, F.lit(False))
-    runs = charted.withColumns({**fresh, **out, "row": number})
-    for i in range(k):
-        first[f"a{i}"] = F.max(F.when(F.col(f"f{i}"), F.col("row"))).over(upto)
-        last[f"z{i}"] = F.lead(f"f{i}").over(order)
-    runs = runs.withColumns({**first, **last})
-    runs = runs.withColumns({f"z{i}": F.min(F.when(F.coalesce(F.col(f"z{i}"), F.lit(True)), F.col("row"))).over(after) for i in range(k)})
-    runs = runs.withColumn("rows", F.max("row").over(Window.partitionBy("src", "period", "part").orderBy(F.col("at").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        marked[f"o{i}"] = v.isNotNull() & ~F.isnan(v) & ~F.coalesce(in_control, F.lit(False))
+    runs = charted.withColumns(marked)
+    # a: the row that a run starts with; b: how far into its run a row is; e: whether the run comes to ``stuck``;
+    # h: length of the slice's first run; t: the row that its last run starts with.
+    runs = runs.withColumns({f"a{i}": F.max(F.when(F.col(f"f{i}"), F.col("row"))).over(upto) for i in fields})
+    runs = runs.withColumns({f"b{i}": F.col("row") - F.col(f"a{i}") + 1 for i in fields})
+    ahead = slice_.rowsBetween(0, cfg.stuck - 1)  # a run that starts after this row is not that long in here
+    runs = runs.withColumns({
+        name: c for i in fields for name, c in (
+            (f"e{i}", F.max(f"b{i}").over(ahead) >= cfg.stuck), (f"h{i}", F.max(F.when(F.col(f"a{i}") == 1, F.col(f"b{i}"))).over(all_)), (f"t{i}", F.max(f"a{i}").over(all_)),
+        )
+    })
     each = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("field"), F.col(f"v{i}").alias("v"), F.col(f"o{i}").alias("out"), F.col(f"l{i}").alias("limit"), F.col(f"a{i}").alias("first"), F.col(f"z{i}").alias("last"))
-        for i in range(k)
+        F.struct(F.lit(i).alias("field"), *[F.col(f"{c}{i}").alias(n) for c, n in (("v", "v"), ("o", "out"), ("l", "limit"), ("a", "first"), ("e", "long"), ("h", "head_length"), ("t", "tail_first"))])
+        for i in fields
     ])).alias("x")
     long = runs.select("src", "period", "part", "id", "row", "rows", each).select("src", "period", "part", "id", "row", "rows", "x.*")
-    length = F.col("last") - F.col("first") + 1
-    stuck = F.col("v").isNotNull() & (length >= cfg.stuck)
-    edge = F.when(F.col("first") == 1, 1).otherwise(0) + F.when(F.col("last") == F.col("rows"), 2).otherwise(0)
-    flagged = long.withColumns({"nan": F.coalesce(F.isnan("v"), F.lit(False)), "stuck": stuck, "limit": F.col("v").isNotNull() & F.col("limit"), "length": length, "edge": edge})
+    known = F.col("v").isNotNull()
+    edge = F.when(F.col("first") == 1, 1).otherwise(0) + F.when(F.col("first") == F.col("tail_first"), 2).otherwise(0)
+    length = F.when(F.col("first") == 1, F.col("head_length")).otherwise(F.col("rows") - F.col("tail_first") + 1)
+    flagged = long.withColumns({"nan": F.coalesce(F.isnan("v"), F.lit(False)), "stuck": known & F.col("long"), "limit": known & F.col("limit"), "length": length, "edge": edge})
     # Kept are flagged readings, and the rows of short runs at the edges of a slice, which may go on in the next one.
     loose = (F.col("edge") > 0) & (F.col("length") < cfg.stuck)
     head = (F.col("edge") > 0) & (F.col("row") == F.col("first"))
-    kept = written(flagged.where(F.col("nan") | F.col("stuck") | F.col("limit") | F.col("out") | loose | head).withColumn("head", head).drop("rows"))
+    kept = written(flagged.where(F.col("nan") | F.col("stuck") | F.col("limit") | F.col("out") | loose | head).withColumn("head", head).drop("rows", "long", "head_length", "tail_first"))
     readings = kept.where("nan or stuck or limit or out").alias("a").join(
         medians.alias("b"), F.col("a.src").eqNullSafe(F.col("b.src")) & (F.col("a.field") == F.col("b.field")), "left"
     ).select("a.id", "a.field", "nan", (F.col("out") & ((F.col("v") > cfg.ratio * F.col("median")) | (F.col("v") < F.col("median") / cfg.ratio))).alias("ratio"), "stuck", "limit", "out")
