@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.session import cut_lineage
+from tidewheel.zset import W
 
 Relations = dict[str, DataFrame]
 COMPACT_EVERY = 8
@@ -42,6 +43,74 @@ def fixpoint(seeds: Mapping[str, DataFrame], rules: Callable[[Relations, Relatio
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
+def maintain(
+    known: DataFrame, seeds: DataFrame, seed_change: DataFrame, links: DataFrame, link_change: DataFrame,
+    step: Callable[[DataFrame, DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame] = cut_lineage, max_rounds: int = 1000,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The least set X = seeds + step(X, links) after a change of both: (X, gained, lost).
+
+    ``known``, ``seeds`` and ``links`` are the sets before; changes carry weights +1
+    and -1 of rows that come and go.  ``step`` is linear in both arguments.
+
+    Deletes: all that was derived through what is gone is taken out, round by round,
+    then what has another derivation from the rest is put back.  Inserts: rounds go
+    on from what is new only.  A round joins new rows with links and looks them up
+    in ``known``; it never derives a known row again from known rows.
+    """
+    cols = known.columns
+    rows = lambda df: df.select(*cols)
+
+    def same(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+        cond = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in cols]
+        return a.alias("a").join(b.alias("b"), cond, how)
+
+    def fresh(candidates: DataFrame, *sets: DataFrame) -> DataFrame:
+        """Candidates in none of the sets: of these only what equals a candidate is looked at further."""
+        out = rows(candidates).distinct()
+        for s in sets:
+            out = same(out, s, "left_anti")
+        return cut(out)
+
+    part = lambda d, sign, like: d.where(F.col(W) * sign > 0).select(*like.columns)
+    seeds_in, seeds_out = part(seed_change, 1, seeds), part(seed_change, -1, seeds)
+    links_in, links_out = cut(part(link_change, 1, links)), cut(part(link_change, -1, links))
+    seeds_now = same(rows(seeds), rows(seeds_out), "left_anti").unionByName(rows(seeds_in))
+    link_cond = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in links.columns]
+    links_left = cut(links.alias("a").join(links_out.alias("b"), link_cond, "left_anti"))
+    links_now = links_left.unionByName(links_in)
+
+    gone, kept, back = None, known, None
+    if not (links_out.isEmpty() and seeds_out.isEmpty()):
+        front = cut(same(rows(seeds_out).unionByName(rows(step(known, links_out))).distinct(), known, "left_semi"))
+        gone = front
+        for _ in range(max_rounds):
+            if front.isEmpty():
+                break
+            front = cut(same(fresh(step(front, links), gone), known, "left_semi"))
+            gone = gone.unionByName(front)
+        gone = cut(gone)
+        kept = cut(same(known, gone, "left_anti"))
+        # Rows taken out that a seed or a step from what is left gives as well.
+        back = cut(same(gone, rows(seeds_now).unionByName(rows(step(kept, links_left))), "left_semi"))
+
+    start = rows(seeds_in).unionByName(rows(step(kept, links_in)))
+    if back is not None:
+        start = start.unionByName(back)
+    new = fresh(start, kept)
+    gained = new
+    for i in range(max_rounds):
+        if new.isEmpty():
+            break
+        new = fresh(step(new, links_now), kept, gained)
+        gained = gained.unionByName(new)
+        if i % COMPACT_EVERY == COMPACT_EVERY - 1:
+            gained = cut(gained)
+    now = cut(kept.unionByName(gained))
+    if gone is None:
+        return now, gained, known.where("false")
+    return now, same(gained, gone, "left_anti"), same(gone, gained, "left_anti")
+
+
 def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], until: Callable[[DataFrame, DataFrame], bool] | int, max_rounds: int = 1000) -> DataFrame:
     """Repeats ``step`` a fixed number of times, or until ``until(old, new)``."""
     rounds = until if isinstance(until, int) else max_rounds

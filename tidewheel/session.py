@@ -64,6 +64,23 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system that Spark can write to, if it is there."""
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it is not there."""
+    fs, where = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
