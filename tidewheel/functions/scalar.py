@@ -139,6 +139,35 @@ def byte_reverse(x: Column, width: int = 64) -> Column:
     return _from_bits(F.concat(*[F.substring(b, width - 7 - 8 * i, 8) for i in range(width // 8)]), width)
 
 
+def xor(a: Column, b: Column) -> Column:
+    """Exclusive or of booleans."""
+    return a != b
+
+
+_INTEGERS, _FLOATS = ("tinyint", "smallint", "int", "bigint"), ("float", "double")
+
+
+def cast_checked(c: Column, source: str, target: str) -> Column:
+    """A cast that the type rules allow; others are a TypeError when the plan is built.
+
+    Allowed: between numbers (floats to integers cut towards zero), booleans to
+    integers, dates to and from days, timestamps to and from milliseconds since 1970.
+    Texts are never cast, nothing becomes a boolean, and floats become no times.
+    """
+    numbers = _INTEGERS + _FLOATS
+    if source == target or (source in numbers and target in numbers) or (source == "boolean" and target in _INTEGERS):
+        return c.cast(target)
+    if source == "date" and target in _INTEGERS:
+        return F.unix_date(c).cast(target)
+    if source in _INTEGERS and target == "date":
+        return F.date_from_unix_date(c.cast("int"))
+    if source == "timestamp" and target in _INTEGERS:
+        return F.unix_millis(c).cast(target)
+    if source in _INTEGERS and target == "timestamp":
+        return F.timestamp_millis(c.cast("bigint"))
+    raise TypeError(f"no cast from {source} to {target}")
+
+
 # strings
 
 
@@ -161,6 +190,15 @@ def append(s: Column, value: Column) -> Column:
     return F.concat(s, value.cast("string"))
 
 
+def concat(*parts: Column) -> Column:
+    return F.concat(*parts)
+
+
+def clear(s: Column) -> Column:
+    """The empty text; null stays null."""
+    return F.when(s.isNotNull(), F.lit(""))
+
+
 def is_ascii(s: Column) -> Column:
     return F.octet_length(s) == F.char_length(s)
 
@@ -211,6 +249,11 @@ def microsecond(t: Column) -> Column:
     return F.floor(F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
 
 
+def date_clock_part(d: Column) -> Column:
+    """Hour, minute, second, millisecond and microsecond of a date: 0."""
+    return F.when(d.isNotNull(), F.lit(0))
+
+
 def decade(t: Column) -> Column:
     return _div(F.year(t), F.lit(10))
 

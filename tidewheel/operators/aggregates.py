@@ -7,7 +7,8 @@ unconsolidated input alike where that is stated, since weights are summed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,24 @@ def group(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     return df.where(F.col(W) != 0).groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]).withColumn(W, F.lit(1).cast("bigint"))
 
 
+@dataclass(frozen=True)
+class Aggregator:
+    """An aggregate of one's own: values that add up, weighted, and what is made of their sums.
+
+    Sums are formed in part before the shuffle; ``finish`` names the results, as
+    expressions over the sums.
+    """
+
+    partials: Mapping[str, Column]
+    finish: Mapping[str, Column]
+
+
+def by(df: DataFrame, keys: Sequence[str], agg: Aggregator) -> DataFrame:
+    """The aggregator's results per key; keys whose weights cancel out are absent."""
+    sums = df.groupBy(*keys).agg(*[F.sum(c * F.col(W)).alias(n) for n, c in agg.partials.items()], F.sum(W).alias(W)).where(F.col(W) != 0)
+    return sums.select(*keys, *[c.alias(n) for n, c in agg.finish.items()], F.lit(1).cast("bigint").alias(W))
+
+
 def aggregate_linear(df: DataFrame, keys: Sequence[str], value: Column, alias: str, drop_zero: bool = True) -> DataFrame:
     """sum(value * weight) per key; groups of sum 0 vanish unless ``drop_zero`` is off."""
     out = df.groupBy(*keys).agg(F.sum(value * F.col(W)).alias(alias))

@@ -30,6 +30,11 @@ def equi_join(a: DataFrame, b: DataFrame, on: Sequence[str], residual: Column |
     return out.withColumn(W, F.col(_L) * F.col(_R)).drop(_L, _R)
 
 
+def monotonic_join(a: DataFrame, b: DataFrame, on: Sequence[str], residual: Column | str | None = None) -> DataFrame:
+    """equi_join by merging: each partition of the output is in the order of the key."""
+    return equi_join(a.hint("merge"), b.hint("merge"), on, residual)
+
+
 def semijoin(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of a with a key in b, weighing the product of both weights (SQL's semi join if b is a set of keys)."""
     left, right = _sides(a, b.groupBy(*on).agg(F.sum(W).alias(W)).where(F.col(W) != 0))

@@ -25,6 +25,17 @@ def flat_map(df: DataFrame, items: Column, alias: str, *columns: Column | str) -
     return df.select(*columns, F.explode(items).alias(alias), W)
 
 
+def flat_map_index(df: DataFrame, items: Column, alias: str, keys: Sequence[Column], *columns: Column | str) -> DataFrame:
+    """flat_map to keys and values, brought together by key."""
+    out = flat_map(df, items, alias, *keys, *columns)
+    return out.repartition(*out.columns[: len(keys)])
+
+
+def exchange(df: DataFrame, by: Column, partitions: int | None = None) -> DataFrame:
+    """Sends each record to the place that a value of one's own names: equal values meet."""
+    return df.repartition(partitions, by) if partitions else df.repartition(by)
+
+
 def filter_map(df: DataFrame, keep: Column | str, *columns: Column | str) -> DataFrame:
     """flat_map with zero or one output: filter, then map."""
     return df.where(keep).select(*columns, W)

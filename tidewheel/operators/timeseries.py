@@ -100,6 +100,25 @@ def rollup_tree(df: DataFrame, partition: Sequence[str], ts: str, value: str, le
     )
 
 
+def rollup_total(tree: DataFrame, partition: Sequence[str], levels: Sequence[int], lo: int, hi: int) -> DataFrame:
+    """(partition, total, n) over [lo, hi), from the ranges of a rollup tree whose levels divide one another.
+
+    Of each level the ranges are taken that lie inside and in no larger range inside:
+    at most two runs of them per level, so few rows per partition are read.
+    """
+    sizes = sorted(levels)
+    inside = lambda size: (F.col("range_start") >= lo) & (F.col("range_start") + size <= hi)
+    keep = F.lit(False)
+    for i, size in enumerate(sizes):
+        own = (F.col("level") == size) & inside(size)
+        if i + 1 < len(sizes):
+            big = sizes[i + 1]
+            up = tumbling(F.col("range_start"), big)
+            own = own & ~((up >= lo) & (up + big <= hi))
+        keep = keep | own
+    return tree.where(keep).groupBy(*partition).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")

@@ -16,6 +16,16 @@ inputs.  Expressions are Spark SQL texts.  Kinds:
     sum(inputs) minus(left, right) neg(input) distinct(input)
     integrate(input) differentiate(input) delay(input)
     fixpoint(input, seed, step)      sink(input, name)
+    export(input, name)              index_with(input, keys)
+    index_by_column(input, column)   unit_map_to_set(input)
+    monotonic_join(left, right, on[, where, columns])
+    stream_join(left, right, left_on, right_on, columns)
+    subgraph(inputs, nodes, output)  and inside of one:
+    delta0(input)                    delayed_feedback(schema, from)
+
+A join's ``columns`` map its output; those of a stream_join, which joins the ticks'
+values only, name the sides ``l`` and ``r``.  The nodes of a subgraph name its inputs
+by the keys of ``inputs``.
 """
 
 from __future__ import annotations
@@ -28,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import aggregates, recursion
 from tidewheel.streaming.circuit import Circuit, Stream
-from tidewheel.zset import W, consolidate, distinct, weighted
+from tidewheel.zset import W, distinct, weighted
 
 
 def _exprs(columns: dict[str, str]) -> list:
@@ -36,11 +46,15 @@ def _exprs(columns: dict[str, str]) -> list:
 
 
 def _constant(circuit: Circuit, f: dict[str, Any]) -> Stream:
-    """The rows at the first tick, nothing afterwards."""
-    rows = [tuple(r) for r in f["rows"]]
-    whole = consolidate(weighted(circuit.spark.createDataFrame(rows, f["schema"])))
-    empty = whole.where("false")
-    return Stream(circuit, lambda: whole if circuit.ticks == 0 else empty, empty)
+    return circuit.add_constant(circuit.spark.createDataFrame([tuple(r) for r in f["rows"]], f["schema"]))
+
+
+def _stream_join(f: dict[str, Any]):
+    def run(a: DataFrame, b: DataFrame) -> DataFrame:
+        out = a.alias("l").join(b.alias("r"), F.col(f"l.{f['left_on']}") == F.col(f"r.{f['right_on']}"))
+        return out.select(*_exprs(f["columns"]), (F.col(f"l.{W}") * F.col(f"r.{W}")).alias(W))
+
+    return run
 
 
 def _fixpoint(f: dict[str, Any]):
@@ -69,8 +83,14 @@ def _fold(f: dict[str, Any]):
 
 def build(spark: SparkSession, graph: str | dict[str, Any]) -> Circuit:
     """The circuit of a graph; inputs are named by tables, outputs by sinks."""
-    nodes = (json.loads(graph) if isinstance(graph, str) else graph)["nodes"]
-    circuit, made = Circuit(spark), {}
+    circuit = Circuit(spark)
+    _add(circuit, (json.loads(graph) if isinstance(graph, str) else graph)["nodes"], {})
+    return circuit
+
+
+def _add(circuit: Circuit, nodes: dict[str, Any], made: dict[str, Stream]) -> dict[str, Stream]:
+    """Adds the nodes to a circuit; ``made`` are streams that are there already."""
+    connections: list[tuple[Any, Any]] = []
 
     def get(i: Any) -> Stream:
         return made[str(i)] if str(i) in made else make(str(i))
@@ -87,6 +107,17 @@ def build(spark: SparkSession, graph: str | dict[str, Any]) -> Circuit:
             return circuit.add_input_map(f["table"], f["schema"], f["keys"])
         if kind == "constant":
             return _constant(circuit, f)
+        if kind == "delayed_feedback":
+            back, connect = circuit.feedback(f["schema"])
+            connections.append((connect, f["from"]))
+            return back
+        if kind == "subgraph":
+            given = {name: get(i) for name, i in f["inputs"].items()}
+            return circuit.nested(given, lambda child, streams: _add(child, f["nodes"], dict(streams))[f["output"]])
+        if kind == "stream_join":
+            return get(f["left"]).apply2(get(f["right"]), _stream_join(f))
+        if kind == "monotonic_join":
+            kind = "join"
         if kind in ("sum", "minus", "join", "antijoin", "semijoin", "outer_join_default"):
             if kind == "sum":
                 first, *rest = [get(x) for x in f["inputs"]]
@@ -95,7 +126,8 @@ def build(spark: SparkSession, graph: str | dict[str, Any]) -> Circuit:
             if kind == "minus":
                 return a.minus(b)
             if kind == "join":
-                return a.join(b, f["on"], f.get("where"))
+                joined = a.join(b, f["on"], f.get("where"))
+                return joined.map(*_exprs(f["columns"])) if "columns" in f else joined
             return getattr(a, kind)(b, f["on"])
         x = get(f["input"])
         if kind == "map":
@@ -112,17 +144,24 @@ def build(spark: SparkSession, graph: str | dict[str, Any]) -> Circuit:
         if kind == "fold":
             return x.aggregate(f["keys"], _fold(f))
         if kind == "aggregate_linear":
-            return x.aggregate(f["keys"], lambda d: aggregates.aggregate_linear(d, f["keys"], F.expr(f["value"]), f["alias"]))
+            return x.aggregate_linear(f["keys"], F.expr(f["value"]), f["alias"])
         if kind == "rolling":
             return x.rolling(f["partition"], f["ts"], {n: F.expr(e) for n, e in f["aggs"].items()}, f["from"], f["to"])
         if kind == "fixpoint":
             return x.recursive(_fixpoint(f))
         if kind in ("neg", "distinct", "integrate", "differentiate", "delay"):
             return getattr(x, kind)()
-        if kind == "sink":
+        if kind in ("sink", "export"):
             return x.output(f["name"])
+        if kind in ("index_with", "index_by_column"):
+            keys = f["keys"] if kind == "index_with" else [f["column"]]
+            return x.apply(lambda d: d.repartition(*keys))
+        if kind in ("unit_map_to_set", "delta0"):  # a map without values is its keys; a circuit's inputs come in the first round
+            return x
         raise KeyError(f"unknown kind of node: {kind}")
 
     for i in nodes:
         get(i)
-    return circuit
+    for connect, i in connections:
+        connect(get(i))
+    return made

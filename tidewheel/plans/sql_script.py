@@ -50,8 +50,22 @@ def _columns(body: str) -> list[tuple[str, str]]:
     return cols
 
 
+# Functions that scripts may use, as SQL: name -> (parameters, result, body).
+PLANAR = {
+    "ST_POINT": ("x DOUBLE, y DOUBLE", "STRUCT<x: DOUBLE, y: DOUBLE>", "named_struct('x', x, 'y', y)"),
+    "ST_DISTANCE": ("a STRUCT<x: DOUBLE, y: DOUBLE>, b STRUCT<x: DOUBLE, y: DOUBLE>", "DOUBLE", "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"),
+}
+
+
+def register_functions(spark: SparkSession, functions: Mapping[str, tuple[str, str, str]] = {}) -> None:  # noqa: B006
+    """Registers the planar functions and others given as SQL; their bodies are inlined into plans."""
+    for name, (parameters, result, body) in {**PLANAR, **functions}.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
+
+
 def run_script(spark: SparkSession, script: str, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Runs the statements in order; returns the views by name."""
+    register_functions(spark)
     bound = {k.lower(): v for k, v in tables.items()}
     views: dict[str, DataFrame] = {}
     for s in statements(script):

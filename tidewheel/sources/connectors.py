@@ -44,23 +44,29 @@ def kafka_options(config: Config, reading: bool) -> dict[str, str]:
     return out | {"topic": config["topic"], "kafka.max.in.flight.requests.per.connection": str(config.get("max_inflight_messages", 1000))}
 
 
-def _read_file(spark: SparkSession, config: Config, schema: str) -> DataFrame:
+def _read_file(spark: SparkSession, config: Config, schema: str, format: str = "csv") -> DataFrame:
+    if format != "csv":
+        reader = spark.readStream if config.get("follow") else spark.read
+        return FORMATS[format][0](reader.text(config["path"]), "value", schema)
     if config.get("follow"):
         return weighted(spark.readStream.schema(schema).option("header", "false").csv(config["path"]))
     return csv_format.read_csv(spark, config["path"], schema)
 
 
-def _read_kafka(spark: SparkSession, config: Config, schema: str) -> DataFrame:
+def _read_kafka(spark: SparkSession, config: Config, schema: str, format: str = "csv") -> DataFrame:
     lines = spark.readStream.format("kafka").options(**kafka_options(config, True)).load().select(F.col("value").cast("string"))
-    return csv_format.parse_lines(lines, "value", schema)
+    return FORMATS[format][0](lines, "value", schema)
 
 
-def _write_file(df: DataFrame, config: Config) -> None:
+def _write_file(df: DataFrame, config: Config, format: str = "csv") -> None:
+    if format != "csv":
+        FORMATS[format][1](df).write.mode(config.get("mode", "append")).text(config["path"])
+        return
     csv_format.write_csv(df, config["path"], config.get("mode", "append"))
 
 
-def _write_kafka(df: DataFrame, config: Config) -> None:
-    csv_format.encode(df).write.format("kafka").options(**kafka_options(config, False)).save()
+def _write_kafka(df: DataFrame, config: Config, format: str = "csv") -> None:
+    FORMATS[format][1](df).write.format("kafka").options(**kafka_options(config, False)).save()
 
 
 class HttpInbox:
@@ -115,20 +121,35 @@ class HttpInbox:
         self.server.shutdown()
 
 
-READERS: dict[str, Callable[[SparkSession, Config, str], DataFrame]] = {"file": _read_file, "kafka": _read_kafka}
-WRITERS: dict[str, Callable[[DataFrame, Config], None]] = {"file": _write_file, "kafka": _write_kafka}
-FORMATS = ("csv",)
+READERS: dict[str, Callable[..., DataFrame]] = {"file": _read_file, "kafka": _read_kafka}
+WRITERS: dict[str, Callable[..., None]] = {"file": _write_file, "kafka": _write_kafka}
+# Formats: how lines become rows, and rows lines.  Open for extension.
+FORMATS: dict[str, tuple[Callable[[DataFrame, str, str], DataFrame], Callable[[DataFrame], DataFrame]]] = {"csv": (csv_format.parse_lines, csv_format.encode)}
+
+
+def register_format(name: str, parse: Callable[[DataFrame, str, str], DataFrame], encode: Callable[[DataFrame], DataFrame]) -> None:
+    """A format by name: ``parse(lines, column, schema)`` gives weighted rows, ``encode(rows)`` one column of lines."""
+    FORMATS[name] = (parse, encode)
+
+
+def register_transport(name: str, read: Callable[..., DataFrame] | None = None, write: Callable[..., None] | None = None) -> None:
+    """A transport by name: ``read(spark, config, schema, format)`` and ``write(df, config, format)``."""
+    if read:
+        READERS[name] = read
+    if write:
+        WRITERS[name] = write
+
 
 
 def open_source(spark: SparkSession, transport: str, config: Config, schema: str, format: str = "csv") -> DataFrame:
     """The rows of a configured endpoint, with weights."""
     if format not in FORMATS:
-        raise KeyError(f"unknown format {format!r}; known: {FORMATS}")
-    return READERS[transport](spark, config, schema)
+        raise KeyError(f"unknown format {format!r}; known: {sorted(FORMATS)}")
+    return READERS[transport](spark, config, schema, format)
 
 
 def write_sink(df: DataFrame, transport: str, config: Config, format: str = "csv") -> None:
     """Writes a change with its weights to a configured endpoint."""
     if format not in FORMATS:
-        raise KeyError(f"unknown format {format!r}; known: {FORMATS}")
-    WRITERS[transport](df, config)
+        raise KeyError(f"unknown format {format!r}; known: {sorted(FORMATS)}")
+    WRITERS[transport](df, config, format)

@@ -101,6 +101,16 @@ class Stream:
     def apply_scalar(self, f: Callable[[Any], Any]) -> Stream:
         return self._stream(lambda: f(self.value), None)
 
+    def stream_fold(self, init: Any, f: Callable[[Any, Any], Any]) -> Stream:
+        """The running fold of a stream of scalars."""
+        held = {"acc": init}
+
+        def evaluate() -> Any:
+            held["acc"] = f(held["acc"], self.value)
+            return held["acc"]
+
+        return self._stream(evaluate, None, None, held)
+
     def apply2(self, other: Stream, f: Callable[[DataFrame, DataFrame], DataFrame]) -> Stream:
         return self._stream(lambda: f(self.value, other.value), f(self.empty, other.empty))
 
@@ -146,6 +156,13 @@ class Stream:
 
         return self._stream(evaluate, empty)
 
+    def range_join(self, other: Stream, lo: Column, hi: Column, key: str, width: float) -> Stream:
+        """Pairs whose ``key`` (of the other side) lies in [lo, hi): joined by buckets of ``width``, see ``joins.range_join``."""
+        bucket = lambda c: F.floor(c.cast("double") / width)
+        a = self.apply(lambda d: d.withColumns({"__lo": lo.cast("double"), "__hi": hi.cast("double")}).where("__lo < __hi").withColumn("__b", F.explode(F.sequence(bucket(F.col("__lo")), bucket(F.col("__hi"))))))
+        b = other.apply(lambda d: d.withColumn("__b", bucket(F.col(key))))
+        return a.join(b, ["__b"], (F.col(key) >= F.col("__lo")) & (F.col(key) < F.col("__hi"))).apply(lambda d: d.drop("__b", "__lo", "__hi"))
+
     def distinct(self) -> Stream:
         state = self.trace(data_columns(self.empty))
 
