@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.session import cut_lineage
+from tidewheel.session import cut_lineage, is_empty, written, written_counted
 from tidewheel.zset import W
 
 Relations = dict[str, DataFrame]
@@ -26,19 +26,21 @@ def fixpoint(seeds: Mapping[str, DataFrame], rules: Callable[[Relations, Relatio
     added; each derivation must use ``new`` in at least one place, once for each
     recursive occurrence.  Duplicates and known rows are removed here.
     """
-    known: Relations = {k: cut_lineage(df.distinct()) for k, df in seeds.items()}
+    known: Relations = {k: written(df.distinct()) for k, df in seeds.items()}
     new = dict(known)
     for i in range(1, max_rounds + 1):
         fresh: Relations = {}
+        found = 0
         for name, derived in rules(known, new).items():
             cols = known[name].columns
             cond = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in cols]
-            fresh[name] = cut_lineage(derived.select(*cols).distinct().alias("a").join(known[name].alias("b"), [x for x in cond], "left_anti"))
-        if all(df.isEmpty() for df in fresh.values()):
+            fresh[name], n = written_counted(derived.select(*cols).distinct().alias("a").join(known[name].alias("b"), [x for x in cond], "left_anti"))
+            found += n
+        if not found:
             return known
         known = {k: df.unionByName(fresh[k]) if k in fresh else df for k, df in known.items()}
         if i % compact_every == 0:  # until then a union of parts that are cut from their lineage
-            known = {k: cut_lineage(df) for k, df in known.items()}
+            known = {k: written(df) for k, df in known.items()}
         new = {k: fresh.get(k, df.where("false")) for k, df in known.items()}
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
@@ -73,6 +75,7 @@ def maintain(
 
     part = lambda d, sign, like: d.where(F.col(W) * sign > 0).select(*like.columns)
     seeds_in, seeds_out = part(seed_change, 1, seeds), part(seed_change, -1, seeds)
+    seeds_out = cut(seeds_out)
     links_in, links_out = cut(part(link_change, 1, links)), cut(part(link_change, -1, links))
     seeds_now = same(rows(seeds), rows(seeds_out), "left_anti").unionByName(rows(seeds_in))
     link_cond = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in links.columns]
@@ -80,11 +83,11 @@ def maintain(
     links_now = links_left.unionByName(links_in)
 
     gone, kept, back = None, known, None
-    if not (links_out.isEmpty() and seeds_out.isEmpty()):
+    if not (is_empty(links_out) and is_empty(seeds_out)):
         front = cut(same(rows(seeds_out).unionByName(rows(step(known, links_out))).distinct(), known, "left_semi"))
         gone = front
         for _ in range(max_rounds):
-            if front.isEmpty():
+            if is_empty(front):
                 break
             front = cut(same(fresh(step(front, links), gone), known, "left_semi"))
             gone = gone.unionByName(front)
@@ -99,7 +102,7 @@ def maintain(
     new = fresh(start, kept)
     gained = new
     for i in range(max_rounds):
-        if new.isEmpty():
+        if is_empty(new):
             break
         new = fresh(step(new, links_now), kept, gained)
         gained = gained.unionByName(new)
@@ -122,11 +125,28 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], until
     return state
 
 
-def transitive_closure(edges: DataFrame) -> DataFrame:
-    """All (src, dst) with a path."""
-    e = edges.select("src", "dst")
-    step = lambda known, new: {"path": new["path"].select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")}
-    return fixpoint({"path": e}, step)["path"]
+def _onward(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.select("src", F.col("dst").alias("mid")).join(b.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+
+
+def transitive_closure(edges: DataFrame, longer: int = 16) -> DataFrame:
+    """All (src, dst) with a path.
+
+    Edges are first replaced by paths of up to 2, 4, 8, .. of them, which divides the
+    number of rounds by as much, for as long as there are at most ``longer`` times
+    as many as edges; the pairs that a doubling would look at are counted before.
+    """
+    e, n = written_counted(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    most, before = longer * n, 0
+    while n and n != before:
+        ends = e.groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("i")).join(e.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("o")), "v")
+        if n + (ends.agg(F.sum(F.col("i") * F.col("o"))).first()[0] or 0) > most:
+            break
+        before = n
+        e, n = written_counted(e.unionByName(_onward(e, e)).distinct())
+    if n and n == before:  # nothing was added: these are all paths
+        return e
+    return fixpoint({"path": e}, lambda known, new: {"path": _onward(new["path"], e)})["path"]
 
 
 def bfs(vertices: DataFrame, edges: DataFrame, source: int, unreachable: int = 2**63 - 1) -> DataFrame:

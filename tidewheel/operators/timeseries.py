@@ -66,18 +66,29 @@ def rolling_sum(value: Column, partition: Sequence[str], ts: str, from_: int, to
     return upto(to) - upto(from_ - 1)
 
 
-def rolling_mean(value: Column, partition: Sequence[str], ts: str, from_: int, to: int, scale: int = 6) -> Column:
-    """avg(value) over the same range, of values rounded to ``scale`` decimals; null over an empty range.
-
-    NaN and infinities in the range give what adding them up would give; sums
-    beyond a long integer's range fail rather than wrap.
+def rolling_mean(value: Column, partition: Sequence[str], ts: str, from_: int, to: int) -> Column:
+    """avg(value) over the same range; null over an empty range.
+
+    Doubles are added as decimals with 18 digits on either side of the point, so
+    the difference of two running sums is exact.  Values that such a decimal does not
+    hold (of 10^18 and more, or with digits beyond the 18th decimal) are put into a
+    second running sum of doubles, as what the decimal leaves of them.  NaN and
+    infinities in the range give what adding them up would give.
     """
     infinite = F.lit(float("inf"))
     finite = ~F.isnan(value) & (F.abs(value) < infinite)
+    fits = finite & (F.abs(value) < F.lit(1e18))
     count = lambda c: rolling_sum(F.when(c, 1), partition, ts, from_, to)
     n, nan, up, down = count(value.isNotNull()), count(F.isnan(value)), count(value == infinite), count(value == -infinite)
-    units = F.when(finite, F.round(value * 10**scale)).cast("bigint")
-    mean = rolling_sum(units, partition, ts, from_, to) / F.lit(float(10**scale)) / n
+    exact = F.when(fits, value).cast("decimal(36,18)")
+    left = F.when(fits, value - exact.cast("double")).when(finite, value)
+    odd_left = F.when(left != 0, left)
+    w = Window.partitionBy(*partition).orderBy(ts)
+    upto = lambda c, end: F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, end)), F.lit(0))
+    whole = (upto(exact, to).cast("decimal(38,18)") - upto(exact, from_ - 1).cast("decimal(38,18)")).cast("double")
+    # where nothing was left over the plain sum stands; a range frame adds what was, so nothing cancels
+    rest = F.coalesce(F.sum(odd_left).over(w.rangeBetween(from_, to)), F.lit(0.0))
+    mean = (whole + rest) / n
     odd = F.when((nan > 0) | ((up > 0) & (down > 0)), F.lit(float("nan"))).when(up > 0, infinite).when(down > 0, -infinite)
     return F.when(n > 0, F.coalesce(odd, mean))
 

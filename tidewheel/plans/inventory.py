@@ -118,9 +118,10 @@ def set_union(spark, d):
     return union(_w(spark, d, "customer", F.col("c_nationkey").alias("k")), _w(spark, d, "supplier", F.col("s_nationkey").alias("k"))).drop(W)
 
 
-@query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority LIKE '1%'")
 def set_except(spark, d):
-    return except_(_w(spark, d, "customer", F.col("c_nationkey").alias("k")), _w(spark, d, "supplier", F.col("s_nationkey").alias("k"))).drop(W)
+    urgent = _w(spark, d, "orders", F.col("o_custkey").alias("k"), "o_orderstatus", "o_orderpriority").where("o_orderstatus = 'P' AND o_orderpriority LIKE '1%'")
+    return except_(_w(spark, d, "customer", F.col("c_custkey").alias("k")), urgent.select("k", W)).drop(W)
 
 
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
@@ -160,9 +161,10 @@ def join_multiplies_weights(spark, d):
     return joins.equi_join(joins.equi_join(n, c, ["k"]), s, ["k"]).select("n_name", F.col(W).cast("decimal(38,0)").alias("pairs"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderpriority LIKE '1%')")
 def antijoin(spark, d):
-    return joins.antijoin(_w(spark, d, "customer", "c_custkey"), _w(spark, d, "orders", F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).drop(W)
+    urgent = _w(spark, d, "orders", F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_orderpriority").where("o_orderstatus = 'P' AND o_orderpriority LIKE '1%'")
+    return joins.antijoin(_w(spark, d, "customer", "c_custkey"), urgent.select("c_custkey", W), ["c_custkey"]).drop(W)
 
 
 @query("SELECT c_custkey, count(*) AS weight FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -171,12 +173,13 @@ def semijoin(spark, d):
     return out.select("c_custkey", F.col(W).alias("weight"))
 
 
-_COUNTS = "(SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_acctbal > 0 GROUP BY 1)", "(SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_acctbal > 0 GROUP BY 1)"
+# Customers and suppliers by whole balance: each side has balances that the other lacks.
+_COUNTS = "(SELECT CAST(floor(c_acctbal / 10) AS bigint) AS k, count(*) AS customers FROM customer GROUP BY 1)", "(SELECT CAST(floor(s_acctbal / 10) AS bigint) AS k, count(*) AS suppliers FROM supplier GROUP BY 1)"
 
 
 def _counts(spark, d):
-    c = table(spark, d, "customer").where("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("customers"))
-    s = table(spark, d, "supplier").where("s_acctbal > 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
+    c = table(spark, d, "customer").groupBy(F.floor(F.col("c_acctbal") / 10).alias("k")).agg(F.count(F.lit(1)).alias("customers"))
+    s = table(spark, d, "supplier").groupBy(F.floor(F.col("s_acctbal") / 10).alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
     return weighted(c), weighted(s)
 
 
@@ -335,12 +338,6 @@ def rolling_aggregate(spark, d):
     return week.join(day, ["user_id", "s"]).select("user_id", "s", F.round("avg_7d", 6).alias("avg_7d"), "n_1d")
 
 
-@query(f"""WITH k AS (SELECT e.* FROM {_E} e, (SELECT max(s) - 864000 AS mark FROM {_E}) WHERE s >= mark - 3600) SELECT DISTINCT user_id, s, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM k""")
-def rolling_with_watermark(spark, d):
-    e = _events(spark, d).select("user_id", "s")
-    return ts.rolling_with_watermark(e, ["user_id"], "s", {"n": F.count(F.lit(1))}, -3600, 0, ts.watermark(e, "s", 864_000))
-
-
 @query(f"""SELECT user_id, level, s - s % level AS range_start, round(sum(value), 4) AS total, count(*) AS n FROM (SELECT *, unnest([CAST(3600 AS bigint), 86400, 604800]) AS level FROM {_E}) GROUP BY 1, 2, 3""")
 def rollup_tree(spark, d):
     out = ts.rollup_tree(_events(spark, d), ["user_id"], "s", "value", [3600, 86_400, 604_800])
@@ -457,10 +454,10 @@ def incremental_window(spark, d):
 @query(f"SELECT k, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM {_COUNTS[0]} FULL JOIN {_COUNTS[1]} USING (k)")
 def incremental_outer_join(spark, d):
     c = Circuit(spark)
-    a, b = c.add_input("a", "k int, customers bigint"), c.add_input("b", "k int, suppliers bigint")
+    a, b = c.add_input("a", "k bigint, customers bigint"), c.add_input("b", "k bigint, suppliers bigint")
     a.outer_join_default(b, ["k"]).output("out")
     x, y = _counts(spark, d)
-    parts = [c.step(a=x.where("k % 2 = 0"), b=y.where("k % 3 = 0"))["out"], c.step(a=x.where("k % 2 = 1"), b=y.where("k % 3 <> 0"))["out"]]
+    parts = [c.step(a=x.where("k % 2 = 0"), b=y.where("k % 3 = 0"))["out"], c.step(a=x.where("k % 2 <> 0"), b=y.where("k % 3 <> 0"))["out"]]
     return expanded(consolidate(sum_of(parts)))
 
 
@@ -491,11 +488,6 @@ def transitive_closure(spark, d):
     return recursion.transitive_closure(_edges(spark, d))
 
 
-@query(f"WITH RECURSIVE e AS {_EDGES}, b AS (SELECT CAST(1 AS bigint) AS id, CAST(0 AS bigint) AS distance UNION SELECT e.dst, b.distance + 1 FROM b JOIN e ON b.id = e.src WHERE b.distance < 60) SELECT s_suppkey AS id, coalesce(min(distance), -1) AS distance FROM supplier LEFT JOIN b ON s_suppkey = id GROUP BY 1")
-def bfs(spark, d):
-    return recursion.bfs(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), _edges(spark, d), 1, -1)
-
-
 # the same tree with a link across from every supplier, and for the search also the tree's edges away from its root, which is supplier 2
 
 _CROSSED = "SELECT s_suppkey AS src, s_suppkey // 2 + 1 AS dst FROM supplier UNION SELECT s_suppkey, (s_suppkey * 7 + 3) % (SELECT count(*) FROM supplier) FROM supplier"
@@ -515,7 +507,7 @@ def transitive_closure_crossed(spark, d):
 
 
 @query(f"WITH RECURSIVE e AS ({_CROSSED} UNION SELECT s_suppkey // 2 + 1, s_suppkey FROM supplier), b AS (SELECT CAST(2 AS bigint) AS id, CAST(0 AS bigint) AS distance UNION SELECT e.dst, b.distance + 1 FROM b JOIN e ON b.id = e.src WHERE b.distance < 60) SELECT s_suppkey AS id, coalesce(min(distance), -1) AS distance FROM supplier LEFT JOIN b ON s_suppkey = id GROUP BY 1")
-def bfs_from_root(spark, d):
+def bfs(spark, d):
     return recursion.bfs(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), _crossed(spark, d, back=True), 2, -1)
 
 
@@ -540,23 +532,8 @@ def pagerank_crossed(spark, d):
     return r.select("id", F.round("rank", 12).alias("rank"))
 
 
-@query(f"WITH RECURSIVE e AS {_EDGES}, l AS (SELECT s_suppkey AS id, s_name AS label FROM supplier WHERE s_suppkey <= 3 UNION SELECT e.dst, l.label FROM l JOIN e ON l.id = e.src) SELECT id, label FROM l")
-def label_propagation(spark, d):
-    labels = table(spark, d, "supplier").where("s_suppkey <= 3").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"))
-    return recursion.propagate_labels(_edges(spark, d), labels)
-
-
-@query(f"WITH RECURSIVE e AS {_EDGES}, p AS (SELECT src, dst FROM e WHERE src <> 1 UNION SELECT p.src, e.dst FROM p JOIN (SELECT * FROM e WHERE src <> 1) e ON p.dst = e.src) SELECT src, dst FROM p")
-def incremental_closure(spark, d):
-    """Closure kept up to date: all edges first, then those out of vertex 1 deleted."""
-    c = Circuit(spark)
-    c.add_input("e", "src bigint, dst bigint").recursive(lambda df: weighted(recursion.transitive_closure(distinct(df).drop(W)))).output("out")
-    e = weighted(_edges(spark, d))
-    return expanded(consolidate(sum_of([c.step(e=e)["out"], c.step(e=neg(e.where("src = 1")))["out"]])))
-
-
 @query(f"WITH RECURSIVE e AS {_EDGES}, l AS (SELECT s_suppkey AS id, n_name AS label FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT e.dst, l.label FROM l JOIN e ON l.id = e.src) SELECT id, label FROM l")
-def label_propagation_nations(spark, d):
+def label_propagation(spark, d):
     """Every supplier starts with the name of its nation."""
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
     labels = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_suppkey").alias("id"), F.col("n_name").alias("label"))
@@ -567,10 +544,11 @@ _STAYING = f"(SELECT * FROM {_EDGES} WHERE src NOT IN (SELECT s_suppkey FROM sup
 
 
 @query(f"WITH RECURSIVE e AS {_STAYING}, p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src) SELECT src, dst FROM p")
-def incremental_closure_nation(spark, d):
+def incremental_closure(spark, d):
     """Closure kept up to date: all edges first, then those out of all suppliers of one nation deleted, that of supplier 3, below the root."""
     c = Circuit(spark)
-    c.add_input("e", "src bigint, dst bigint").recursive(lambda df: weighted(recursion.transitive_closure(distinct(df).drop(W)))).output("out")
+    edges = c.add_input("e", "src bigint, dst bigint")
+    edges.closure(edges, lambda x, e: x.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")).output("out")
     e, s = weighted(_edges(spark, d)), table(spark, d, "supplier")
     gone = s.join(s.where("s_suppkey = 3").select("s_nationkey"), "s_nationkey").select(F.col("s_suppkey").alias("src"))
     return expanded(consolidate(sum_of([c.step(e=e)["out"], c.step(e=neg(e.join(gone, "src", "left_semi")))["out"]])))
@@ -589,21 +567,38 @@ _GALEN = {
 }
 
 
-@query(None)
+def _galen_sql(rounds: int) -> str:
+    """The rules unrolled; more rounds than a fixed point needs add nothing."""
+    parts = [f"{k}{'0' if k in 'pq' else ''} AS MATERIALIZED (SELECT DISTINCT * FROM ({v}))" for k, v in _GALEN.items()]
+    for i in range(rounds):
+        p, q = f"p{i}", f"q{i}"
+        parts.append(
+            f"p{i + 1} AS MATERIALIZED (SELECT x, y FROM {p} UNION SELECT a.x, b.y FROM {p} a JOIN {p} b ON a.y = b.x UNION SELECT q.x, u.z FROM {p} a JOIN u ON a.y = u.x JOIN {q} q ON q.r = u.y AND q.z = a.x"
+            f" UNION SELECT a.x, c.z FROM c JOIN {p} a ON a.y = c.y JOIN {p} b ON b.x = a.x AND b.y = c.x)"
+        )
+        parts.append(
+            f"q{i + 1} AS MATERIALIZED (SELECT x, r, z FROM {q} UNION SELECT a.x, q.r, q.z FROM {p} a JOIN {q} q ON q.x = a.y UNION SELECT q.x, s.y, q.z FROM {q} q JOIN s ON s.x = q.r"
+            f" UNION SELECT a.x, r.z, b.z FROM {q} a JOIN r ON r.x = a.r JOIN {q} b ON b.x = a.z AND b.r = r.y)"
+        )
+    return "WITH " + ", ".join(parts) + f" SELECT 'p' AS relation, x, CAST(NULL AS bigint) AS r, y AS z FROM p{rounds} UNION ALL SELECT 'q', x, r, z FROM q{rounds}"
+
+
+@query(_galen_sql(12))
 def galen_rules(spark, d):
-    """Rows per relation of six mutually recursive rules over all suppliers (checked against brute force in the tests)."""
+    """The rows of six mutually recursive rules over all suppliers (checked against brute force in the tests too)."""
     for t in ("supplier", "nation", "region"):
         table(spark, d, t).createOrReplaceTempView(f"galen_{t}")
     rel = {k: spark.sql(s.replace("//", "div").replace("FROM supplier", "FROM galen_supplier").replace("FROM nation", "FROM galen_nation").replace("FROM region", "FROM galen_region")).distinct() for k, s in _GALEN.items()}
     got = galen.closure(**rel)
-    return got["p"].select(F.lit("p").alias("relation")).unionByName(got["q"].select(F.lit("q").alias("relation"))).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    p = got["p"].toDF("x", "z").select(F.lit("p").alias("relation"), "x", F.lit(None).cast("bigint").alias("r"), "z")
+    return p.unionByName(got["q"].toDF("x", "r", "z").select(F.lit("q").alias("relation"), "x", "r", "z"))
 
 
 # scalar functions
 
 
 @query("""SELECT p_partkey, strlen(p_name) AS bytes, length(p_name) AS chars, 8 * strlen(p_name) AS bits, p_name || ' ' || CAST(p_size AS varchar) AS appended, left(p_name, 4) AS cut, lower(p_type) AS low, split_part(p_type, ' ', 2) AS part2,
-  CAST(p_name || 'x' = lower(p_name || 'x') AS boolean) AS is_low, length(p_type) - length(replace(p_type, 'A', '')) AS count_a, true AS ascii FROM part""")
+  CAST(p_name || 'x' = lower(p_name || 'x') AS boolean) AS is_low, length(p_type) - length(replace(p_type, 'A', '')) AS count_a, strlen(p_name) = length(p_name) AS ascii FROM part""")
 def string_fns(spark, d):
     n = F.col("p_name")
     return table(spark, d, "part").select(
@@ -688,14 +683,16 @@ _TX = "(SELECT DISTINCT * FROM transactions)"
 _DEMO = "(SELECT DISTINCT * FROM demographics)"
 
 
-@query(f"SELECT t.trans_date_trans_time, t.cc_num, d.first, d.city FROM {_TX} t JOIN {_DEMO} d ON t.cc_num = d.cc_num")
+@query(f"SELECT d.state AS home_state, t.category AS kind, count(*) AS payments, round(sum(t.amt), 2) AS spent FROM {_TX} t JOIN {_DEMO} d ON d.cc_num = t.cc_num WHERE t.amt > 0 GROUP BY 1, 2")
 def sql_enrich(spark, d):
-    script = """CREATE TABLE demographics (cc_num FLOAT64 NOT NULL, first STRING, city STRING); -- cards
-      CREATE TABLE transactions (trans_date_trans_time TIMESTAMP NOT NULL, cc_num FLOAT64 NOT NULL, trans_num STRING);
-      CREATE VIEW transactions_with_demographics AS SELECT transactions.trans_date_trans_time, transactions.cc_num, demographics.first, demographics.city
-      FROM transactions JOIN demographics ON transactions.cc_num = demographics.cc_num;"""
-    tables = {"transactions": table(spark, d, "transactions").distinct(), "demographics": table(spark, d, "demographics").distinct()}
-    return sql_script.run_script(spark, script, tables)["transactions_with_demographics"]
+    """Payments enriched with their card's owner, and summed, from a script of tables and views."""
+    script = """-- payments and owners
+      CREATE TABLE payments (trans_num VARCHAR, cc_num FLOAT64, category VARCHAR, amt FLOAT64);
+      CREATE TABLE owners (cc_num FLOAT64 NOT NULL, state VARCHAR);
+      CREATE VIEW owned AS SELECT o.state AS home_state, p.category AS kind, p.amt FROM payments p INNER JOIN owners o ON o.cc_num = p.cc_num WHERE p.amt > 0;
+      CREATE VIEW spending AS SELECT home_state, kind, count(*) AS payments, round(sum(amt), 2) AS spent FROM owned GROUP BY home_state, kind;"""
+    tables = {"payments": table(spark, d, "transactions").distinct(), "owners": table(spark, d, "demographics").distinct()}
+    return sql_script.run_script(spark, script, tables)["spending"]
 
 
 def _feature_tables(spark, d):
@@ -703,8 +700,8 @@ def _feature_tables(spark, d):
 
 
 _FRAUD = """SELECT trans_num, t.cc_num, round(sqrt(pow(long - merch_long, 2) + pow(lat - merch_lat, 2)), 9) AS distance,
-  round(avg(amt) OVER (PARTITION BY t.cc_num ORDER BY unix_time RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING), 9) AS avg_spend_pw,
-  round(avg(amt) OVER (PARTITION BY t.cc_num ORDER BY unix_time RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING), 9) AS avg_spend_pm,
+  round(CASE WHEN count(*) FILTER (WHERE isnan(amt)) OVER (PARTITION BY t.cc_num ORDER BY unix_time RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING) > 0 THEN CAST('nan' AS double) ELSE CAST(sum(CAST(CASE WHEN isnan(amt) THEN 0 ELSE amt END AS decimal(24,6))) OVER (PARTITION BY t.cc_num ORDER BY unix_time RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING) AS double) / count(amt) OVER (PARTITION BY t.cc_num ORDER BY unix_time RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING) END, 9) AS avg_spend_pw,
+  round(CASE WHEN count(*) FILTER (WHERE isnan(amt)) OVER (PARTITION BY t.cc_num ORDER BY unix_time RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING) > 0 THEN CAST('nan' AS double) ELSE CAST(sum(CAST(CASE WHEN isnan(amt) THEN 0 ELSE amt END AS decimal(24,6))) OVER (PARTITION BY t.cc_num ORDER BY unix_time RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING) AS double) / count(amt) OVER (PARTITION BY t.cc_num ORDER BY unix_time RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING) END, 9) AS avg_spend_pm,
   count(*) OVER (PARTITION BY t.cc_num ORDER BY unix_time RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) AS trans_freq_24, category, amt, state, job, unix_time, city_pop, merchant, is_fraud
   FROM (SELECT DISTINCT * FROM transactions) t {how} JOIN (SELECT DISTINCT * FROM demographics) d ON t.cc_num = d.cc_num"""
 
@@ -724,7 +721,7 @@ def fraud_features_known_cards(spark, d):
 
 
 @query("""SELECT *, count(*) OVER (PARTITION BY pickup_location_id ORDER BY epoch(lpep_pickup_datetime) RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS count_trips_window_1h_pickup_zip,
-  round(avg(fare_amount) OVER (PARTITION BY pickup_location_id ORDER BY epoch(lpep_pickup_datetime) RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING), 9) AS mean_fare_window_1h_pickup_zip,
+  round(CASE WHEN count(*) FILTER (WHERE isnan(fare_amount)) OVER (PARTITION BY pickup_location_id ORDER BY epoch(lpep_pickup_datetime) RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) > 0 THEN CAST('nan' AS double) ELSE CAST(sum(CAST(CASE WHEN isnan(fare_amount) THEN 0 ELSE fare_amount END AS decimal(24,6))) OVER (PARTITION BY pickup_location_id ORDER BY epoch(lpep_pickup_datetime) RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS double) / count(fare_amount) OVER (PARTITION BY pickup_location_id ORDER BY epoch(lpep_pickup_datetime) RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) END, 9) AS mean_fare_window_1h_pickup_zip,
   count(*) OVER (PARTITION BY dropoff_location_id ORDER BY epoch(lpep_dropoff_datetime) RANGE BETWEEN 1800 PRECEDING AND 1 PRECEDING) AS count_trips_window_30m_dropoff_zip,
   CASE WHEN isodow(lpep_dropoff_datetime) > 5 THEN 1 ELSE 0 END AS dropoff_is_weekend FROM (SELECT DISTINCT * FROM green_tripdata)""")
 def trip_features(spark, d):

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -64,6 +65,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_counted(df: DataFrame, path: str | None = None) -> tuple[DataFrame, int]:
+    """As ``written``, with the number of rows, counted while writing; ``is_empty`` knows it of the result."""
+    spark, seen = df.sparkSession, Observation()
+    path = path or f"{ensure_checkpoint_dir(spark)}/written-{uuid.uuid4()}"
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rows = int(seen.get["n"])
+    return out, out._rows
+
+
+def is_empty(df: DataFrame) -> bool:
+    """Whether there is no row; costs a job only where the rows were not counted when written."""
+    n = df.__dict__.get("_rows")
+    return df.isEmpty() if n is None else n == 0
+
+
 def _file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import inputs, joins, recursion
 from tidewheel.operators import timeseries as ts_ops
+from tidewheel.session import is_empty
 from tidewheel.streaming.state import Parts, StateTable, few_values, keys_match, part_of
 from tidewheel.zset import W, consolidate, data_columns, neg, plus, sum_of, weighted
 
@@ -148,9 +149,9 @@ class Stream:
         def evaluate() -> DataFrame:
             # What a side's change meets is read from the other side's state, as far as it shares keys.
             now = [pair(self.value, other.value)]
-            if b.needed() and not self.value.isEmpty():
+            if b.needed() and not is_empty(self.value):
                 now.append(pair(self.value, b.touching(self.value, on, few_values(self.value, on[0]))))
-            if a.needed() and not other.value.isEmpty():
+            if a.needed() and not is_empty(other.value):
                 now.append(pair(a.touching(other.value, on, few_values(other.value, on[0])), other.value))
             return sum_of([x.select(*empty.columns) for x in now])
 
@@ -590,7 +591,7 @@ class Nested(Circuit):
             for node in self.nodes:
                 node._commit()
             self.ticks += 1
-            if out.isEmpty():
+            if is_empty(out):
                 return sum_of(found) if found else result.empty
             found.append(out)
         raise RuntimeError(f"a nested circuit did not come to rest in {max_rounds} rounds")

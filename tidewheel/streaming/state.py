@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.session import cut_lineage, delete_path, ensure_checkpoint_dir
+from tidewheel.session import cut_lineage, delete_path, ensure_checkpoint_dir, written_counted
 from tidewheel.zset import W, consolidate, sum_of
 
 FEW_KEYS = 1_000
@@ -43,8 +43,7 @@ class Parts:
         if not self.folder:
             self.folder = f"{ensure_checkpoint_dir(self.spark)}/circuit-{uuid.uuid4()}"
         path = f"{self.folder}/{uuid.uuid4()}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out, _ = written_counted(df, path)
         out._part = path
         self.owned.add(path)
         return out
