@@ -1,7 +1,7 @@
 """Scalar functions as Column expressions (nulls give null unless stated).
 
-Everything runs in the JVM but for the Unicode normalization tests and the gamma
-functions, which Spark lacks; those are Arrow-batched.
+Everything runs in the JVM but for the Unicode normalization tests, which Spark
+lacks; those are Arrow-batched and look at each distinct text of a batch once.
 """
 
 from __future__ import annotations
@@ -62,20 +62,33 @@ def ln(x: Column) -> Column:
     return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.log(x))
 
 
-@F.pandas_udf(T.DoubleType())
-def lgamma(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: math.nan if math.isnan(v) else math.inf if v <= 0 and v == int(v) or math.isinf(v) else math.lgamma(v), na_action="ignore")
+def lgamma(x: Column) -> Column:
+    """ln |gamma(x)|; infinite at 0 and negative integers, NaN for NaN."""
+    x = x.cast("double")
+    pi, infinite = F.lit(math.pi), F.lit(float("inf"))
+
+    def positive(v: Column) -> Column:
+        """For v > 0: shifted up by eight, where the asymptotic series is exact enough."""
+        z = v + 8
+        r = 1 / (z * z)
+        series = (((((r * F.lit(-691.0 / 360360) + F.lit(1.0 / 1188)) * r - F.lit(1.0 / 1680)) * r + F.lit(1.0 / 1260)) * r - F.lit(1.0 / 360)) * r + F.lit(1.0 / 12)) / z
+        down = F.lit(1.0)
+        for k in range(8):
+            down = down * (v + k)
+        small = (z - 0.5) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(down)
+        return F.when(v > 1e15, v * (F.log(v) - 1)).otherwise(small)
 
+    mirrored = F.log(pi) - F.log(F.abs(F.sin(pi * (x - F.floor(x))))) - positive(1 - x)
+    return F.when(F.isnan(x), x).when(F.abs(x) == infinite, infinite).when((x <= 0) & (x == F.floor(x)), infinite).when(x > 0, positive(x)).otherwise(mirrored)
 
-@F.pandas_udf(T.DoubleType())
-def tgamma(x: pd.Series) -> pd.Series:
-    def gamma(v: float) -> float:
-        try:
-            return math.gamma(v)
-        except (ValueError, OverflowError):
-            return math.inf if v > 0 else math.nan
 
-    return x.map(gamma, na_action="ignore")
+def tgamma(x: Column) -> Column:
+    """gamma(x); exact for integers up to 20, NaN at negative integers, infinite at 0 and beyond 171.6."""
+    x = x.cast("double")
+    whole = (x == F.floor(x)) & x.between(1, 20)
+    sign = F.when((x < 0) & (F.pmod(F.floor(x), F.lit(2)) == 1), -1.0).otherwise(1.0)
+    value = F.when(whole, F.factorial((F.when(whole, x).otherwise(1) - 1).cast("int")).cast("double")).otherwise(sign * F.exp(lgamma(x)))
+    return F.when(F.isnan(x) | (x == F.lit(float("-inf"))), F.lit(float("nan"))).when((x < 0) & (x == F.floor(x)), F.lit(float("nan"))).when(x > 171.7, F.lit(float("inf"))).otherwise(value)
 
 
 def is_power_of_two(x: Column) -> Column:
@@ -206,7 +219,8 @@ def is_ascii(s: Column) -> Column:
 def _normal(form: str):
     @F.pandas_udf(T.BooleanType())
     def test(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: unicodedata.is_normalized(form, v), na_action="ignore").astype(object)
+        known = {v: unicodedata.is_normalized(form, v) for v in s.dropna().unique()}
+        return s.map(known, na_action="ignore").astype(object)
 
     return test
 

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.session import is_empty, written
 from tidewheel.zset import W
 
 
@@ -75,22 +76,104 @@ def rolling_mean(value: Column, partition: Sequence[str], ts: str, from_: int, t
     second running sum of doubles, as what the decimal leaves of them.  NaN and
     infinities in the range give what adding them up would give.
     """
-    infinite = F.lit(float("inf"))
-    finite = ~F.isnan(value) & (F.abs(value) < infinite)
-    fits = finite & (F.abs(value) < F.lit(1e18))
-    count = lambda c: rolling_sum(F.when(c, 1), partition, ts, from_, to)
-    n, nan, up, down = count(value.isNotNull()), count(F.isnan(value)), count(value == infinite), count(value == -infinite)
-    exact = F.when(fits, value).cast("decimal(36,18)")
-    left = F.when(fits, value - exact.cast("double")).when(finite, value)
-    odd_left = F.when(left != 0, left)
+    value = value.cast("double")
+    parts = _mean_parts(value)
     w = Window.partitionBy(*partition).orderBy(ts)
     upto = lambda c, end: F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, end)), F.lit(0))
-    whole = (upto(exact, to).cast("decimal(38,18)") - upto(exact, from_ - 1).cast("decimal(38,18)")).cast("double")
-    # where nothing was left over the plain sum stands; a range frame adds what was, so nothing cancels
-    rest = F.coalesce(F.sum(odd_left).over(w.rangeBetween(from_, to)), F.lit(0.0))
-    mean = (whole + rest) / n
-    odd = F.when((nan > 0) | ((up > 0) & (down > 0)), F.lit(float("nan"))).when(up > 0, infinite).when(down > 0, -infinite)
-    return F.when(n > 0, F.coalesce(odd, mean))
+    sums = {k: upto(c, to) - upto(c, from_ - 1) for k, c in parts.items()}
+    finite = ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    left = F.when(finite, F.coalesce(value - parts["exact"].cast("double"), value))
+    # Where nothing was left over the sum of decimals stands; a frame of the range adds what was, so nothing cancels.
+    rest = F.coalesce(F.sum(F.when(left != 0, left)).over(w.rangeBetween(from_, to)), F.lit(0.0))
+    return _mean_of(sums, rest)
+
+
+MAX_HOT = 10_000
+HOT_ROWS = 1_000_000
+
+
+def rolling_features(
+    df: DataFrame, partition: Sequence[str], ts: str, row_id: str, means: Mapping[str, tuple[Column, int, int]], counts: Mapping[str, tuple[int, int]], hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Adds means (value, from, to) and counts (from, to) over [ts + from, ts + to] of the partition.
+
+    ``row_id`` names a row: it is unique and not null.  Partitions with ``hot_rows``
+    rows or more (and at least a MAX_HOT-th of all, which bounds their list) are cut
+    into slices of time, each a group of its own: running sums are formed in a
+    slice, on top of the totals before it, and looked up where a row's range begins
+    and ends, which may lie in other slices.  Partitions with values that the
+    decimals of ``rolling_mean`` do not hold are not cut.
+    """
+    sizes = df.groupBy(*partition).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(ts).alias("__from"), F.max(ts).alias("__to"), F.coalesce(F.bool_or(F.lit(False) if not means else _any_left([v for v, _, _ in means.values()])), F.lit(False)).alias("__left")
+    )
+    large = written(sizes.where(F.col("__n") >= hot_rows))
+    if is_empty(large) or large.where("not __left").isEmpty():
+        return _rolled(df, partition, ts, means, counts)
+    least = max(hot_rows, -(-df.count() // MAX_HOT))
+    width = F.greatest(F.lit(1), F.ceil((F.col("__to") - F.col("__from") + 1) / F.ceil(F.col("__n") / hot_rows))).cast("bigint")
+    hot = F.broadcast(large.where((F.col("__n") >= least) & ~F.col("__left")).select(*[F.col(p).alias(f"__p_{p}") for p in partition], F.col("__from"), width.alias("__width")))
+    marked = df.join(hot, [F.col(p).eqNullSafe(F.col(f"__p_{p}")) for p in partition], "left").drop(*[f"__p_{p}" for p in partition])
+    cut = F.col("__width").isNotNull() & F.col(ts).isNotNull()
+    cold = _rolled(marked.where(~cut).drop("__from", "__width"), partition, ts, means, counts)
+    rows = marked.where(cut)
+
+    # What is summed: per mean the parts of the sum, and one for the counts.
+    summed: dict[str, Column] = {"one": F.lit(1)}
+    for a, (v, _, _) in means.items():
+        summed |= {f"{a}.{k}": c for k, c in _mean_parts(v).items()}
+    names = {k: f"__s{i}" for i, k in enumerate(summed)}
+    offsets = sorted({x for _, f, t in means.values() for x in (f - 1, t)} | {x for f, t in counts.values() for x in (f - 1, t)})
+    at = F.explode(F.array(F.struct(F.lit(-1).alias("which"), F.col(ts).cast("bigint").alias("t")), *[F.struct(F.lit(j).alias("which"), (F.col(ts) + off).cast("bigint").alias("t")) for j, off in enumerate(offsets)])).alias("__e")
+    events = rows.select(*partition, F.col(row_id).alias("__id"), "__from", "__width", *[c.alias(names[k]) for k, c in summed.items()], at)
+    events = events.select(
+        *partition, "__id", F.floor((F.col("__e.t") - F.col("__from")) / F.col("__width")).alias("__slice"), F.col("__e.which").alias("__which"), F.col("__e.t").alias("__t"),
+        *[F.when(F.col("__e.which") < 0, F.col(n)).alias(n) for n in names.values()],
+    )
+    slices = events.groupBy(*partition, "__slice").agg(*[F.sum(n).alias(n) for n in names.values()])
+    before = Window.partitionBy(*partition).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = {f.name: f.dataType for f in events.schema}
+    carried = slices.select(
+        *partition, F.lit(None).cast(kinds["__id"]).alias("__id"), "__slice", F.lit(-2).alias("__which"), F.lit(None).cast("bigint").alias("__t"), *[F.sum(n).over(before).cast(kinds[n]).alias(n) for n in names.values()]
+    )
+    running = Window.partitionBy(*partition, "__slice").orderBy(F.col("__t").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = events.unionByName(carried).select("__id", "__which", *[F.coalesce(F.sum(n).over(running), F.lit(0)).alias(n) for n in names.values()]).where("__which >= 0")
+    seen = upto.groupBy("__id").agg(*[F.max(F.when(F.col("__which") == j, F.col(n))).alias(f"{n}_{j}") for j in range(len(offsets)) for n in names.values()])
+    found = rows.drop("__from", "__width").join(seen, F.col(row_id) == F.col("__id"))
+    between = lambda key, f, t: F.col(f"{names[key]}_{offsets.index(t)}") - F.col(f"{names[key]}_{offsets.index(f - 1)}")
+    out = {a: _mean_of({k: between(f"{a}.{k}", f, t) for k in ("n", "nan", "up", "down", "exact")}, F.lit(0.0)) for a, (_, f, t) in means.items()}
+    out |= {a: between("one", f, t) for a, (f, t) in counts.items()}
+    return cold.unionByName(found.withColumns(out).select(*cold.columns))
+
+
+def _rolled(df: DataFrame, partition: Sequence[str], ts: str, means: Mapping[str, tuple[Column, int, int]], counts: Mapping[str, tuple[int, int]]) -> DataFrame:
+    out = {a: rolling_mean(v, partition, ts, f, t) for a, (v, f, t) in means.items()}
+    return df.withColumns(out | {a: rolling_sum(F.lit(1), partition, ts, f, t) for a, (f, t) in counts.items()})
+
+
+def _mean_parts(value: Column) -> dict[str, Column]:
+    """Of a value: whether it counts, is NaN or infinite, and the decimal that is added up."""
+    value = value.cast("double")
+    infinite = F.lit(float("inf"))
+    one = lambda c: F.when(c, 1)
+    fits = ~F.isnan(value) & (F.abs(value) < F.lit(1e18))
+    return {"n": one(value.isNotNull()), "nan": one(F.isnan(value)), "up": one(value == infinite), "down": one(value == -infinite), "exact": F.when(fits, value).cast("decimal(36,18)")}
+
+
+def _any_left(values: Sequence[Column]) -> Column:
+    out = F.lit(False)
+    for v in values:
+        exact = _mean_parts(v)["exact"]
+        finite = ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+        out = out | F.coalesce(finite & (exact.isNull() | (exact.cast("double") != v)), F.lit(False))
+    return out
+
+
+def _mean_of(sums: Mapping[str, Column], rest: Column) -> Column:
+    infinite = F.lit(float("inf"))
+    mean = (sums["exact"].cast("double") + rest) / sums["n"]
+    odd = F.when((sums["nan"] > 0) | ((sums["up"] > 0) & (sums["down"] > 0)), F.lit(float("nan"))).when(sums["up"] > 0, infinite).when(sums["down"] > 0, -infinite)
+    return F.when(sums["n"] > 0, F.coalesce(odd, mean))
 
 
 def rolling_with_watermark(df: DataFrame, partition: Sequence[str], ts: str, aggs: Mapping[str, Column], from_: int, to: int, mark: int) -> DataFrame:

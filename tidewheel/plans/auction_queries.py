@@ -21,6 +21,8 @@ _AUCTION = """auction AS (SELECT o_orderkey AS id, 'item ' || o_orderkey AS item
   CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS date)) * 60000 AS bigint) AS date_time, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS date)) * 60000 + 3600000 AS bigint) AS expires, o_custkey AS seller, o_orderkey % 5 + 10 AS category, o_orderstatus AS extra FROM orders)"""
 _BID = f"""bid AS (SELECT l_orderkey AS auction, l_suppkey AS bidder, CAST(floor(l_extendedprice * 100) AS bigint) AS price, CASE WHEN l_linenumber <= 4 THEN {CHANNELS}[l_linenumber] ELSE 'shop/' || l_suppkey || '/a/b?channel_id=' || l_linenumber || '&x' END AS channel,
   'https://auctions.example/' || l_suppkey || '/item/' || l_partkey AS url, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS date)) * 60000 + l_partkey % 60 * 1000 + l_linenumber * 100 AS bigint) AS date_time, 'c' || l_returnflag || 'cc' || l_partkey AS extra FROM lineitem)"""
+_LATE = """, a8 AS (SELECT seller, date_time // 60000 * 1000 + id % 1000 AS date_time FROM auction),
+  p8 AS (SELECT p.id, name, coalesce(last, p.date_time // 60) AS date_time FROM person p LEFT JOIN (SELECT seller, max(date_time) AS last FROM a8 GROUP BY 1) l ON l.seller = p.id) """
 _ALL = f"WITH {_PERSON}, {_AUCTION}, {_BID}"
 
 
@@ -53,10 +55,20 @@ def _run(f: Callable[..., DataFrame], spark: SparkSession, d: str, **kw) -> Data
     return f(market(spark, d), **kw)
 
 
+def _joined_late(spark: SparkSession, d: str, **kw) -> DataFrame:
+    """q8 on a market whose days last a second and whose people join when they open their last auction."""
+    t = market(spark, d)
+    a = t["auction"].withColumn("date_time", F.expr("date_time div 60000 * 1000 + id % 1000"))
+    last = a.groupBy(F.col("seller").alias("id")).agg(F.max("date_time").alias("last"))
+    p = t["person"].join(last, "id", "left").withColumn("date_time", F.coalesce("last", F.expr("date_time div 60"))).drop("last")
+    return auction.q8({"person": p, "auction": a, "bid": t["bid"]}, **kw)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f"auction_q{i}": partial(_run, getattr(auction, f"q{i}")) for i in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 14, 15, 16, 17, 18, 19, 20, 21, 22)
 }
 QUERIES |= {f"auction_q{i}_all_windows": partial(_run, getattr(auction, f"q{i}"), all_windows=True) for i in (5, 7, 8)}
+QUERIES |= {"auction_q8": _joined_late, "auction_q8_all_windows": partial(_joined_late, all_windows=True)}
 QUERIES |= {f"auction_q{i}_url": partial(_run, getattr(auction, f"q{i}"), of="url") for i in (21, 22)}
 QUERIES["auction_q12"] = lambda spark, d: auction.q12(market(spark, d), F.col("date_time") + 5)
 QUERIES["auction_q13"] = lambda spark, d: auction.q13(market(spark, d), side_input(spark, d))
@@ -93,8 +105,8 @@ SQL: dict[str, str] = {
         "q6": f", {_VALID} SELECT seller, CAST(sum(final) // count(*) AS bigint) AS avg_final FROM (SELECT *, row_number() OVER (PARTITION BY seller ORDER BY auction DESC) AS r FROM (SELECT seller, auction, max(price) AS final FROM v GROUP BY 1, 2)) WHERE r <= 10 GROUP BY 1",
         "q7": f", w AS (SELECT auction, bidder, price, extra FROM bid, {_HI.format(lag=4000, step=10000, of='bid')} WHERE date_time >= hi - 10000 AND date_time < hi) SELECT * FROM w WHERE price = (SELECT max(price) FROM w)",
         "q7_all_windows": "SELECT * EXCLUDE (top) FROM (SELECT auction, bidder, price, extra, date_time, date_time - date_time % 10000 AS window_start, max(price) OVER (PARTITION BY date_time - date_time % 10000) AS top FROM bid) WHERE price = top",
-        "q8": f"SELECT p.id, name, p.date_time - p.date_time % 10000 AS starttime FROM person p JOIN auction a ON a.seller = p.id, {_HI.format(lag=10000, step=10000, of='auction')} WHERE p.date_time >= hi - 10000 AND p.date_time < hi AND a.date_time >= hi - 10000 AND a.date_time < hi",
-        "q8_all_windows": "SELECT DISTINCT p.id, name, p.date_time - p.date_time % 10000 AS starttime FROM person p JOIN auction a ON a.seller = p.id AND p.date_time - p.date_time % 10000 = a.date_time - a.date_time % 10000",
+        "q8": f"{_LATE}SELECT p.id, name, p.date_time - p.date_time % 10000 AS starttime FROM p8 p JOIN a8 a ON a.seller = p.id, {_HI.format(lag=10000, step=10000, of='a8')} WHERE p.date_time >= hi - 10000 AND p.date_time < hi AND a.date_time >= hi - 10000 AND a.date_time < hi",
+        "q8_all_windows": f"{_LATE}SELECT DISTINCT p.id, name, p.date_time - p.date_time % 10000 AS starttime FROM p8 p JOIN a8 a ON a.seller = p.id AND p.date_time - p.date_time % 10000 = a.date_time - a.date_time % 10000",
         "q9": f", {_VALID} SELECT auction AS id, item_name, description, initial_bid, reserve, seller, category, extra, opened AS date_time, expires, bidder, price, bid_time, bid_extra FROM (SELECT *, row_number() OVER (PARTITION BY auction ORDER BY price DESC, bidder DESC, bid_time DESC, bid_extra DESC) AS r FROM v) WHERE r = 1",
         "q12": "SELECT bidder, (date_time + 5) - (date_time + 5) % 10000 AS starttime, count(*) AS bid_count FROM bid GROUP BY 1, 2",
         "q13": "SELECT auction, bidder, price, date_time, p_name AS value FROM bid JOIN part ON auction % 10000 = p_partkey % 10000 WHERE date_time >= p_partkey % 1000 * 600000",

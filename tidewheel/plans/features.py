@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions import scalar
-from tidewheel.operators.timeseries import rolling_mean, rolling_sum
+from tidewheel.operators.timeseries import HOT_ROWS, rolling_features
 
 DAY = 86_400
 
@@ -17,29 +17,29 @@ def transactions_with_demographics(transactions: DataFrame, demographics: DataFr
     return transactions.select("trans_num", "trans_date_trans_time", "cc_num").join(d, "cc_num")
 
 
-def fraud_features(transactions: DataFrame, demographics: DataFrame, how: str = "left") -> DataFrame:
+def fraud_features(transactions: DataFrame, demographics: DataFrame, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Spending averages of the week and month before, transactions of the day before, distance and demographics.
 
     ``how="inner"`` keeps only transactions of known cards.
     """
     keep = transactions.select("trans_num", "cc_num", "unix_time", "amt", "category", "merchant", "merch_lat", "merch_long", "is_fraud")
     d = demographics.select("cc_num", "state", "job", "city_pop", "lat", "long")
-    spend = lambda days: rolling_mean(F.col("amt"), ["cc_num"], "unix_time", -days * DAY, -1)
-    return keep.join(d, "cc_num", how).select(
-        "trans_num", "cc_num", scalar.planar_distance(F.col("long"), F.col("lat"), F.col("merch_long"), F.col("merch_lat")).alias("distance"), spend(7).alias("avg_spend_pw"), spend(30).alias("avg_spend_pm"),
-        rolling_sum(F.lit(1), ["cc_num"], "unix_time", -DAY, -1).alias("trans_freq_24"), "category", "amt", "state", "job", "unix_time", "city_pop", "merchant", "is_fraud",
+    spend = {f"avg_spend_{name}": (F.col("amt"), -days * DAY, -1) for name, days in (("pw", 7), ("pm", 30))}
+    rolled = rolling_features(keep.join(d, "cc_num", how), ["cc_num"], "unix_time", "trans_num", spend, {"trans_freq_24": (-DAY, -1)}, hot_rows)
+    return rolled.select(
+        "trans_num", "cc_num", scalar.planar_distance(F.col("long"), F.col("lat"), F.col("merch_long"), F.col("merch_lat")).alias("distance"), "avg_spend_pw", "avg_spend_pm", "trans_freq_24", "category", "amt", "state", "job", "unix_time", "city_pop", "merchant", "is_fraud",
     )
 
 
-def trip_features(trips: DataFrame) -> DataFrame:
+def trip_features(trips: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Trips and fares of the hour before at the pickup place, trips of the half hour before at the dropoff place, weekend flag."""
     up, down = F.unix_timestamp(F.col("lpep_pickup_datetime").cast("timestamp")), F.unix_timestamp(F.col("lpep_dropoff_datetime").cast("timestamp"))
     t = trips.withColumns({"up_s": up, "down_s": down})
-    up_place, down_place = ["pickup_location_id"], ["dropoff_location_id"]
+    t = rolling_features(t, ["pickup_location_id"], "up_s", "trip_id", {"mean_fare_window_1h_pickup_zip": (F.col("fare_amount"), -3600, -1)}, {"count_trips_window_1h_pickup_zip": (-3600, -1)}, hot_rows)
+    t = rolling_features(t, ["dropoff_location_id"], "down_s", "trip_id", {}, {"count_trips_window_30m_dropoff_zip": (-1800, -1)}, hot_rows)
     return t.select(
         "trip_id", "lpep_pickup_datetime", "lpep_dropoff_datetime", "pickup_location_id", "dropoff_location_id", "trip_distance", "fare_amount",
-        rolling_sum(F.lit(1), up_place, "up_s", -3600, -1).alias("count_trips_window_1h_pickup_zip"), rolling_mean(F.col("fare_amount"), up_place, "up_s", -3600, -1).alias("mean_fare_window_1h_pickup_zip"),
-        rolling_sum(F.lit(1), down_place, "down_s", -1800, -1).alias("count_trips_window_30m_dropoff_zip"), F.when(scalar.iso_day_of_week(F.col("lpep_dropoff_datetime")) > 5, 1).otherwise(0).alias("dropoff_is_weekend"),
+        "count_trips_window_1h_pickup_zip", "mean_fare_window_1h_pickup_zip", "count_trips_window_30m_dropoff_zip", F.when(scalar.iso_day_of_week(F.col("lpep_dropoff_datetime")) > 5, 1).otherwise(0).alias("dropoff_is_weekend"),
     )
 
 

@@ -70,7 +70,7 @@ def _write_kafka(df: DataFrame, config: Config, format: str = "csv") -> None:
 
 
 class HttpInbox:
-    """A small HTTP front end: POST /input/<name> with CSV lines, GET /output/<name> for the last results as JSON.
+    """A small HTTP front end: POST /input/<name> with CSV lines, GET /output/<name> for the last change, a JSON line per row.
 
     Lines wait in memory (at most ``limit``; beyond it the client gets 429 and
     must send again) until ``drain`` turns them into the next tick's rows.
@@ -78,7 +78,7 @@ class HttpInbox:
 
     def __init__(self, port: int = 0, limit: int = 1_000_000):
         self.lines: dict[str, list[str]] = {}
-        self.results: dict[str, list[dict]] = {}
+        self.results: dict[str, DataFrame] = {}
         self.limit, self.lock = limit, threading.Lock()
         inbox = self
 
@@ -96,10 +96,12 @@ class HttpInbox:
                 self.end_headers()
 
             def do_GET(self) -> None:  # noqa: N802
-                body = json.dumps(inbox.results.get(self.path.rpartition("/")[2], []), default=str).encode()
+                rows = inbox.results.get(self.path.rpartition("/")[2])
                 self.send_response(200)
                 self.end_headers()
-                self.wfile.write(body)
+                # partition by partition, so neither side holds the whole
+                for r in rows.toLocalIterator() if rows is not None else ():
+                    self.wfile.write((json.dumps(r.asDict(), default=str) + "\n").encode())
 
             def log_message(self, *_: Any) -> None:
                 return
@@ -113,9 +115,9 @@ class HttpInbox:
             lines = self.lines.pop(name, [])
         return csv_format.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string"), "value", schema)
 
-    def publish(self, name: str, delta: DataFrame, most: int = 10_000) -> None:
-        """Shows the first ``most`` rows of a change to clients (a view, not the result)."""
-        self.results[name] = [r.asDict() for r in delta.select(*data_columns(delta), W).limit(most).collect()]
+    def publish(self, name: str, delta: DataFrame) -> None:
+        """Offers a change, all its rows with their weights, to clients until the next one."""
+        self.results[name] = delta.select(*data_columns(delta), W)
 
     def close(self) -> None:
         self.server.shutdown()
