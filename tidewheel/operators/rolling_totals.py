@@ -74,10 +74,12 @@ def trailing_totals(daily: DataFrame, until: date, periods: Sequence[int] = (7,
     )
     on_day = lambda c: F.when(F.col("day") == F.col("active"), F.col(c)).otherwise(F.lit(0)).alias(c)
     out = stretched.select("entity", "day", (F.col("day") - F.col("first") + 1).alias("age"), on_day("units"), on_day("beyond"))
-    for p in periods:
-        frame = by_entity.orderBy("day").rangeBetween(-(p - 1), 0)
-        out = out.withColumns({f"units_{p}": F.sum("units").over(frame).cast("decimal(38,0)"), f"beyond_{p}": F.sum("beyond").over(frame)})
-    return out.drop("units", "beyond")
+    # Units are exact, so a period's total is the difference of two frames that only grow, one addition a row each.
+    upto = lambda end: F.coalesce(F.sum("units").over(by_entity.orderBy("day").rangeBetween(Window.unboundedPreceding, end)), F.lit(0)).cast("decimal(38,0)")
+    within = lambda p: F.sum("beyond").over(by_entity.orderBy("day").rangeBetween(-(p - 1), 0))
+    totals = {"__now": upto(0)} | {f"__old_{p}": upto(-p) for p in periods} | {f"beyond_{p}": within(p) for p in periods}
+    out = out.withColumns(totals)
+    return out.withColumns({f"units_{p}": (F.col("__now") - F.col(f"__old_{p}")).cast("decimal(38,0)") for p in periods}).drop("units", "beyond", *[c for c in totals if c.startswith("__")])
 
 
 def with_amounts(trailing: DataFrame, periods: Sequence[int] = (7, 30), scale: int = 2) -> DataFrame:
