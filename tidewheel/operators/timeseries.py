@@ -7,11 +7,13 @@ pair per tick: the incremental forms are in :mod:`tidewheel.streaming`.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.session import is_empty, written
+from tidewheel.session import written
 from tidewheel.zset import W
 
 
@@ -67,25 +69,38 @@ def rolling_sum(value: Column, partition: Sequence[str], ts: str, from_: int, to
     return upto(to) - upto(from_ - 1)
 
 
-def rolling_mean(value: Column, partition: Sequence[str], ts: str, from_: int, to: int) -> Column:
+_UNITS = 10_000.0
+
+
+@dataclass(frozen=True)
+class Sums:
+    """What is known of values to be averaged: whole units of 1/10,000 whose sums fit a long integer; NaN or infinities among them."""
+
+    units: bool = False
+    odd: bool = True
+
+
+def rolling_mean(value: Column, partition: Sequence[str], ts: str, from_: int, to: int, kind: Sums = Sums()) -> Column:
     """avg(value) over the same range; null over an empty range.
 
-    Doubles are added as decimals with 18 digits on either side of the point, so
+    Doubles are added as decimals (or, where ``kind`` says so, as whole units) with 18 digits on either side of the point, so
     the difference of two running sums is exact.  Values that such a decimal does not
     hold (of 10^18 and more, or with digits beyond the 18th decimal) are put into a
     second running sum of doubles, as what the decimal leaves of them.  NaN and
     infinities in the range give what adding them up would give.
     """
     value = value.cast("double")
-    parts = _mean_parts(value)
+    parts = _mean_parts(value, kind)
     w = Window.partitionBy(*partition).orderBy(ts)
     upto = lambda c, end: F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, end)), F.lit(0))
     sums = {k: upto(c, to) - upto(c, from_ - 1) for k, c in parts.items()}
+    if kind.units:
+        return _mean_of(sums, F.lit(0.0), kind)
     finite = ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
     left = F.when(finite, F.coalesce(value - parts["exact"].cast("double"), value))
     # Where nothing was left over the sum of decimals stands; a frame of the range adds what was, so nothing cancels.
     rest = F.coalesce(F.sum(F.when(left != 0, left)).over(w.rangeBetween(from_, to)), F.lit(0.0))
-    return _mean_of(sums, rest)
+    return _mean_of(sums, rest, kind)
 
 
 MAX_HOT = 10_000
@@ -104,24 +119,32 @@ def rolling_features(
     and ends, which may lie in other slices.  Partitions with values that the
     decimals of ``rolling_mean`` do not hold are not cut.
     """
-    sizes = df.groupBy(*partition).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(ts).alias("__from"), F.max(ts).alias("__to"), F.coalesce(F.bool_or(F.lit(False) if not means else _any_left([v for v, _, _ in means.values()])), F.lit(False)).alias("__left")
-    )
-    large = written(sizes.where(F.col("__n") >= hot_rows))
-    if is_empty(large) or large.where("not __left").isEmpty():
-        return _rolled(df, partition, ts, means, counts)
+    values = [v.cast("double") for v, _, _ in means.values()]
+    finite = [F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v) for v in values]
+    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    some = lambda cs: reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in cs], F.lit(False))
+    sizes = written(df.groupBy(*partition).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(ts).alias("__from"), F.max(ts).alias("__to"), flag(_any_left(values)).alias("__left"), flag(some([v.isNotNull() & f.isNull() for v, f in zip(values, finite, strict=True)])).alias("__odd"),
+        flag(some([F.round(f * _UNITS) / _UNITS != f for f in finite])).alias("__fine"), F.greatest(F.lit(0.0), *[F.coalesce(F.max(F.abs(f)), F.lit(0.0)) for f in finite], F.lit(0.0)).alias("__most"),
+    ))
+    # One row: whether sums of whole units of 1/10,000 are exact and fit a long integer everywhere, and whether there are NaN and infinities.
+    all_ = sizes.agg(F.bool_or("__fine"), F.max(F.col("__n") * F.col("__most") * _UNITS), F.bool_or("__odd")).first()
+    kind = Sums(not all_[0] and (all_[1] or 0.0) < 9e18, bool(all_[2]))
+    large = sizes.where(F.col("__n") >= hot_rows)
+    if large.where("not __left").isEmpty():
+        return _rolled(df, partition, ts, means, counts, kind)
     least = max(hot_rows, -(-df.count() // MAX_HOT))
     width = F.greatest(F.lit(1), F.ceil((F.col("__to") - F.col("__from") + 1) / F.ceil(F.col("__n") / hot_rows))).cast("bigint")
     hot = F.broadcast(large.where((F.col("__n") >= least) & ~F.col("__left")).select(*[F.col(p).alias(f"__p_{p}") for p in partition], F.col("__from"), width.alias("__width")))
     marked = df.join(hot, [F.col(p).eqNullSafe(F.col(f"__p_{p}")) for p in partition], "left").drop(*[f"__p_{p}" for p in partition])
     cut = F.col("__width").isNotNull() & F.col(ts).isNotNull()
-    cold = _rolled(marked.where(~cut).drop("__from", "__width"), partition, ts, means, counts)
+    cold = _rolled(marked.where(~cut).drop("__from", "__width"), partition, ts, means, counts, kind)
     rows = marked.where(cut)
 
     # What is summed: per mean the parts of the sum, and one for the counts.
     summed: dict[str, Column] = {"one": F.lit(1)}
     for a, (v, _, _) in means.items():
-        summed |= {f"{a}.{k}": c for k, c in _mean_parts(v).items()}
+        summed |= {f"{a}.{k}": c for k, c in _mean_parts(v, kind).items()}
     names = {k: f"__s{i}" for i, k in enumerate(summed)}
     offsets = sorted({x for _, f, t in means.values() for x in (f - 1, t)} | {x for f, t in counts.values() for x in (f - 1, t)})
     at = F.explode(F.array(F.struct(F.lit(-1).alias("which"), F.col(ts).cast("bigint").alias("t")), *[F.struct(F.lit(j).alias("which"), (F.col(ts) + off).cast("bigint").alias("t")) for j, off in enumerate(offsets)])).alias("__e")
@@ -141,37 +164,41 @@ def rolling_features(
     seen = upto.groupBy("__id").agg(*[F.max(F.when(F.col("__which") == j, F.col(n))).alias(f"{n}_{j}") for j in range(len(offsets)) for n in names.values()])
     found = rows.drop("__from", "__width").join(seen, F.col(row_id) == F.col("__id"))
     between = lambda key, f, t: F.col(f"{names[key]}_{offsets.index(t)}") - F.col(f"{names[key]}_{offsets.index(f - 1)}")
-    out = {a: _mean_of({k: between(f"{a}.{k}", f, t) for k in ("n", "nan", "up", "down", "exact")}, F.lit(0.0)) for a, (_, f, t) in means.items()}
+    out = {a: _mean_of({k: between(f"{a}.{k}", f, t) for k in _mean_parts(F.lit(0.0), kind)}, F.lit(0.0), kind) for a, (_, f, t) in means.items()}
     out |= {a: between("one", f, t) for a, (f, t) in counts.items()}
     return cold.unionByName(found.withColumns(out).select(*cold.columns))
 
 
-def _rolled(df: DataFrame, partition: Sequence[str], ts: str, means: Mapping[str, tuple[Column, int, int]], counts: Mapping[str, tuple[int, int]]) -> DataFrame:
-    out = {a: rolling_mean(v, partition, ts, f, t) for a, (v, f, t) in means.items()}
+def _rolled(df: DataFrame, partition: Sequence[str], ts: str, means: Mapping[str, tuple[Column, int, int]], counts: Mapping[str, tuple[int, int]], kind: Sums) -> DataFrame:
+    out = {a: rolling_mean(v, partition, ts, f, t, kind) for a, (v, f, t) in means.items()}
     return df.withColumns(out | {a: rolling_sum(F.lit(1), partition, ts, f, t) for a, (f, t) in counts.items()})
 
 
-def _mean_parts(value: Column) -> dict[str, Column]:
-    """Of a value: whether it counts, is NaN or infinite, and the decimal that is added up."""
+def _mean_parts(value: Column, kind: Sums) -> dict[str, Column]:
+    """Of a value: whether it counts, is NaN or infinite, and the decimal or whole units that are added up."""
     value = value.cast("double")
     infinite = F.lit(float("inf"))
     one = lambda c: F.when(c, 1)
     fits = ~F.isnan(value) & (F.abs(value) < F.lit(1e18))
-    return {"n": one(value.isNotNull()), "nan": one(F.isnan(value)), "up": one(value == infinite), "down": one(value == -infinite), "exact": F.when(fits, value).cast("decimal(36,18)")}
+    exact = F.when(fits, F.round(value * _UNITS)).cast("bigint") if kind.units else F.when(fits, value).cast("decimal(36,18)")
+    odd = {"nan": one(F.isnan(value)), "up": one(value == infinite), "down": one(value == -infinite)} if kind.odd else {}
+    return {"n": one(value.isNotNull()), **odd, "exact": exact}
 
 
 def _any_left(values: Sequence[Column]) -> Column:
     out = F.lit(False)
     for v in values:
-        exact = _mean_parts(v)["exact"]
+        exact = _mean_parts(v, Sums())["exact"]
         finite = ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
         out = out | F.coalesce(finite & (exact.isNull() | (exact.cast("double") != v)), F.lit(False))
     return out
 
 
-def _mean_of(sums: Mapping[str, Column], rest: Column) -> Column:
+def _mean_of(sums: Mapping[str, Column], rest: Column, kind: Sums) -> Column:
     infinite = F.lit(float("inf"))
-    mean = (sums["exact"].cast("double") + rest) / sums["n"]
+    mean = (sums["exact"].cast("double") / _UNITS if kind.units else sums["exact"].cast("double") + rest) / sums["n"]
+    if not kind.odd:
+        return F.when(sums["n"] > 0, mean)
     odd = F.when((sums["nan"] > 0) | ((sums["up"] > 0) & (sums["down"] > 0)), F.lit(float("nan"))).when(sums["up"] > 0, infinite).when(sums["down"] > 0, -infinite)
     return F.when(sums["n"] > 0, F.coalesce(odd, mean))
 
