@@ -152,13 +152,16 @@ def transitive_closure(edges: DataFrame, longer: int = 16) -> DataFrame:
 def bfs(vertices: DataFrame, edges: DataFrame, source: int, unreachable: int = 2**63 - 1) -> DataFrame:
     """(id, distance) by number of edges; unreachable vertices get the given number."""
     spark = vertices.sparkSession
-    found = cut_lineage(spark.createDataFrame([(source, 0)], "id bigint, distance bigint"))
-    front, depth = found, 0
-    while not front.isEmpty():
+    links = written(edges.select("src", "dst"))
+    found = spark.createDataFrame([(source, 0)], "id bigint, distance bigint")
+    front, n, depth = found, 1, 0
+    while n:
         depth += 1
-        reached = front.select(F.col("id").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("id")).distinct()
-        front = cut_lineage(reached.join(found, "id", "left_anti").select("id", F.lit(depth).cast("bigint").alias("distance")))
-        found = cut_lineage(found.unionByName(front))
+        reached = front.select(F.col("id").alias("src")).join(links, "src").select(F.col("dst").alias("id")).distinct()
+        front, n = written_counted(reached.join(found, "id", "left_anti").select("id", F.lit(depth).cast("bigint").alias("distance")))
+        found = found.unionByName(front)
+        if depth % COMPACT_EVERY == 0:  # until then a union of written parts
+            found = written(found)
     return vertices.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("distance", F.lit(unreachable)).alias("distance"))
 
 
