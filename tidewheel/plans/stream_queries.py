@@ -14,6 +14,7 @@ from tidewheel.operators import timeseries as ts
 from tidewheel.plans import graph_plan
 from tidewheel.session import ensure_checkpoint_dir, table
 from tidewheel.sources import auctions, connectors, csv_format
+from tidewheel.streaming import host
 from tidewheel.streaming.circuit import Circuit, Operator
 from tidewheel.zset import W, consolidate, expanded, neg, sum_of, weighted
 
@@ -117,15 +118,13 @@ def typed_csv_file(spark, d):
 @query("SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation")
 def streamed_files(spark, d):
     """A file source that is followed as a stream, through a circuit that writes with the sink after each batch."""
-    from tidewheel.streaming.host import drive
-
     src, out, check = _folder(spark), _folder(spark), _folder(spark)
     for t, k, n in (("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name")):
         table(spark, d, t).select(F.col(k).cast("bigint").alias("k"), F.col(n).alias("name")).coalesce(1).write.mode("append").csv(src)
     c = Circuit(spark)
     c.add_input("x", "k bigint, name string").distinct().output("out")
     stream = connectors.open_source(spark, "file", {"path": src, "follow": True}, "k bigint, name string").drop(W)
-    drive(c, stream, "x", lambda got, _: connectors.write_sink(got["out"], "file", {"path": out}), check).awaitTermination()
+    host.drive(c, stream, "x", lambda got, _: connectors.write_sink(got["out"], "file", {"path": out}), check).awaitTermination()
     read = csv_format.read_csv(spark, out, "k bigint, name string, weight bigint").drop(W)
     return expanded(consolidate(read.withColumnRenamed("weight", W)))
 
@@ -147,6 +146,33 @@ def generated_auctions(spark, d):
     return sum_of(counted)
 
 
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events table followed as a stream; times are instants."""
+    schema = table(spark, d, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _emitted(stream: DataFrame) -> DataFrame:
+    """What a stream appends to a file sink until its source is exhausted."""
+    spark, out, check = stream.sparkSession, _folder(stream.sparkSession), _folder(stream.sparkSession)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, CAST(count(*) FILTER (WHERE value > 10) AS bigint) AS large FROM events
+  WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(date_trunc('milliseconds', ts)) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2""")
+def native_windows(spark, d):
+    """Event-time windows of Structured Streaming with a watermark, each emitted once when it is closed."""
+    counted = host.windowed_counts(_event_stream(spark, d), "ts", "10 minutes", "1 hour", None, ["event_type"], n=F.count(F.lit(1)), large=F.count_if(F.col("value") > 10))
+    return _emitted(counted).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "large")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def native_first_seen(spark, d):
+    """Distinct records of a stream, state bounded by the watermark."""
+    return _emitted(host.first_seen(_event_stream(spark, d), ["user_id", "event_type"], "ts", "100 days").select("user_id", "event_type"))
+
+
 # delays, integrals, feedback and nested circuits
 
 

@@ -26,7 +26,7 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.operators import inputs, joins, recursion
@@ -301,13 +301,20 @@ class Stream:
             return ts_ops.rolling(rows.where(F.col(W) > 0), partition, ts, aggs, from_, to)
 
         def evaluate() -> DataFrame:
-            limits = source.value.groupBy(*partition).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi")).withColumnsRenamed({p: f"__p_{p}" for p in partition})
+            def touched(margin: int) -> DataFrame:
+                """Disjoint ranges of time per partition: a changed row concerns the outputs whose range it falls into, and the one at its own time."""
+                spans = source.value.select(*partition, (F.col(ts) - max(to, 0) - margin).alias("__lo"), (F.col(ts) - min(from_, 0) + margin).alias("__hi")).distinct()
+                before = Window.partitionBy(*partition).orderBy("__lo").rowsBetween(Window.unboundedPreceding, -1)
+                so_far = Window.partitionBy(*partition).orderBy("__lo").rowsBetween(Window.unboundedPreceding, 0)
+                fresh = F.when(F.col("__lo") <= F.max("__hi").over(before), 0).otherwise(1)
+                runs = spans.withColumn("__new", fresh).withColumn("__run", F.sum("__new").over(so_far))
+                return runs.groupBy(*partition, "__run").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi")).drop("__run").withColumnsRenamed({p: f"__p_{p}" for p in partition})
+
             cond = [F.col(p).eqNullSafe(F.col(f"__p_{p}")) for p in partition]
 
             def cut(rows: DataFrame, margin: int) -> DataFrame:
-                # a changed row concerns the outputs whose range it falls into, and the one at its own time
-                near = F.col(ts).between(F.col("__lo") - max(to, 0) - margin, F.col("__hi") - min(from_, 0) + margin)
-                return rows.join(limits, [*cond, near]).drop("__lo", "__hi", *[f"__p_{p}" for p in partition])
+                near = F.col(ts).between(F.col("__lo"), F.col("__hi"))
+                return rows.join(touched(margin), [*cond, near]).drop("__lo", "__hi", *[f"__p_{p}" for p in partition])
 
             old = self._cut(consolidate(cut(state.read(), span + abs(from_) + abs(to))))
             new = consolidate(plus(old, source.value))
