@@ -255,13 +255,15 @@ def test_a_restart_changes_nothing(spark, tmp_path, kind):
     assert kind in ("delay", "feedback") or plain[0] and plain[1] == {}
 
 
-def test_closure_under_inserts_and_deletes_golden(spark):
+@pytest.mark.parametrize("chain", [None, ("src", "dst")])
+def test_closure_under_inserts_and_deletes_golden(spark, monkeypatch, chain):
     """Changes of a closure, tick by tick, against closures from scratch."""
+    monkeypatch.setattr(recursion, "_SHORT_ROUNDS", 1)
     rnd = random.Random(5)
     E = "src bigint, dst bigint"  # noqa: N806
     c = Circuit(spark, compact_every=2)
     e = c.add_input("e", E)
-    e.closure(e, _tc).output("out")
+    e.closure(e, _tc, chain=chain).output("out")
     live, before = set(), set()
     ticks = [{(1, 2): 1, (2, 3): 1, (3, 4): 1, (4, 2): 1}, {(2, 3): -1, (4, 5): 1}, {(5, 1): 1, (1, 3): 1}, {(3, 4): -1, (1, 2): -1}]
     ticks += [{(rnd.randrange(6), rnd.randrange(6)): 1 for _ in range(4)}]

@@ -17,6 +17,7 @@ from tidewheel.zset import W
 
 Relations = dict[str, DataFrame]
 COMPACT_EVERY = 8
+_SHORT_ROUNDS = 4  # rounds along single links before they are lengthened
 
 
 def fixpoint(seeds: Mapping[str, DataFrame], rules: Callable[[Relations, Relations], Relations], max_rounds: int = 1000, compact_every: int = COMPACT_EVERY) -> Relations:
@@ -47,7 +48,7 @@ def fixpoint(seeds: Mapping[str, DataFrame], rules: Callable[[Relations, Relatio
 
 def maintain(
     known: DataFrame, seeds: DataFrame, seed_change: DataFrame, links: DataFrame, link_change: DataFrame,
-    step: Callable[[DataFrame, DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame] = cut_lineage, max_rounds: int = 1000,
+    step: Callable[[DataFrame, DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame] = cut_lineage, max_rounds: int = 1000, chain: tuple[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The least set X = seeds + step(X, links) after a change of both: (X, gained, lost).
 
@@ -58,6 +59,10 @@ def maintain(
     then what has another derivation from the rest is put back.  Inserts: rounds go
     on from what is new only.  A round joins new rows with links and looks them up
     in ``known``; it never derives a known row again from known rows.
+
+    ``chain`` names the columns from and to which a link leads, if links have no
+    others and two steps along links are one step along their path: after a few
+    rounds the rest then goes along lengthened links.
     """
     cols = known.columns
     rows = lambda df: df.select(*cols)
@@ -82,14 +87,20 @@ def maintain(
     links_left = cut(links.alias("a").join(links_out.alias("b"), link_cond, "left_anti"))
     links_now = links_left.unionByName(links_in)
 
+    def longer_links(df: DataFrame) -> DataFrame:
+        a, b = chain
+        return lengthened(df.select(F.col(a).alias("src"), F.col(b).alias("dst")))[0].select(F.col("src").alias(a), F.col("dst").alias(b))
+
     gone, kept, back = None, known, None
     if not (is_empty(links_out) and is_empty(seeds_out)):
         front = cut(same(rows(seeds_out).unionByName(rows(step(known, links_out))).distinct(), known, "left_semi"))
-        gone = front
-        for _ in range(max_rounds):
+        gone, along = front, links
+        for i in range(max_rounds):
             if is_empty(front):
                 break
-            front = cut(same(fresh(step(front, links), gone), known, "left_semi"))
+            if chain and i == _SHORT_ROUNDS:
+                along = longer_links(links)
+            front = cut(same(fresh(step(front, along), gone), known, "left_semi"))
             gone = gone.unionByName(front)
         gone = cut(gone)
         kept = cut(same(known, gone, "left_anti"))
@@ -104,6 +115,8 @@ def maintain(
     for i in range(max_rounds):
         if is_empty(new):
             break
+        if chain and i == _SHORT_ROUNDS:
+            links_now = longer_links(links_now)
         new = fresh(step(new, links_now), kept, gained)
         gained = gained.unionByName(new)
         if i % COMPACT_EVERY == COMPACT_EVERY - 1:
@@ -129,24 +142,30 @@ def _onward(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("src", F.col("dst").alias("mid")).join(b.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
 
 
-def transitive_closure(edges: DataFrame, longer: int = 16) -> DataFrame:
-    """All (src, dst) with a path.
+LONGER = 16
+
+
+def lengthened(edges: DataFrame, longer: int = LONGER) -> tuple[DataFrame, int, bool]:
+    """Edges (src, dst) replaced by paths of up to 2, 4, 8, .. of them: (paths, how many, whether they are all there are).
 
-    Edges are first replaced by paths of up to 2, 4, 8, .. of them, which divides the
-    number of rounds by as much, for as long as there are at most ``longer`` times
-    as many as edges; the pairs that a doubling would look at are counted before.
+    It goes on for as long as there are at most ``longer`` times as many as edges;
+    the pairs that a doubling would look at are counted before.
     """
     e, n = written_counted(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     most, before = longer * n, 0
     while n and n != before:
         ends = e.groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("i")).join(e.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("o")), "v")
         if n + (ends.agg(F.sum(F.col("i") * F.col("o"))).first()[0] or 0) > most:
-            break
+            return e, n, False
         before = n
         e, n = written_counted(e.unionByName(_onward(e, e)).distinct())
-    if n and n == before:  # nothing was added: these are all paths
-        return e
-    return fixpoint({"path": e}, lambda known, new: {"path": _onward(new["path"], e)})["path"]
+    return e, n, True
+
+
+def transitive_closure(edges: DataFrame, longer: int = LONGER) -> DataFrame:
+    """All (src, dst) with a path; lengthened edges divide the number of rounds by their length."""
+    e, _, complete = lengthened(edges, longer)
+    return e if complete else fixpoint({"path": e}, lambda known, new: {"path": _onward(new["path"], e)})["path"]
 
 
 def bfs(vertices: DataFrame, edges: DataFrame, source: int, unreachable: int = 2**63 - 1) -> DataFrame:

@@ -548,7 +548,7 @@ def incremental_closure(spark, d):
     """Closure kept up to date: all edges first, then those out of all suppliers of one nation deleted, that of supplier 3, below the root."""
     c = Circuit(spark)
     edges = c.add_input("e", "src bigint, dst bigint")
-    edges.closure(edges, lambda x, e: x.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")).output("out")
+    edges.closure(edges, lambda x, e: x.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst"), chain=("src", "dst")).output("out")
     e, s = weighted(_edges(spark, d)), table(spark, d, "supplier")
     gone = s.join(s.where("s_suppkey = 3").select("s_nationkey"), "s_nationkey").select(F.col("s_suppkey").alias("src"))
     return expanded(consolidate(sum_of([c.step(e=e)["out"], c.step(e=neg(e.join(gone, "src", "left_semi")))["out"]])))

@@ -335,13 +335,13 @@ class Stream:
         """As ``recursive``, of two inputs."""
         return self.integrate().apply2(other.integrate(), f).differentiate()
 
-    def closure(self, edges: Stream, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = 1000) -> Stream:
+    def closure(self, edges: Stream, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = 1000, chain: tuple[str, str] | None = None) -> Stream:
         """Change of the least set X = self + step(X, edges), where ``step`` is linear in both (a join and a projection).
 
         Inserts go on from what is new.  Deletes first take out all that was derived
         through what is gone, then derive again what still has another derivation.
         Both inputs are taken as sets; ``step`` gets them without weights and must
-        give the columns of ``self``.
+        give the columns of ``self``.  For ``chain`` see ``recursion.maintain``.
         """
         seeds, links = self.distinct(), edges.distinct()
         seed_state, link_state = seeds.trace(), links.trace()
@@ -350,7 +350,7 @@ class Stream:
         def evaluate() -> DataFrame:
             known = held["known"] if held["known"] is not None else self.empty.drop(W)
             held["next"], gained, lost = recursion.maintain(
-                known, consolidate(seed_state.read()).drop(W), seeds.value, consolidate(link_state.read()).drop(W), links.value, step, self._cut, max_rounds,
+                known, consolidate(seed_state.read()).drop(W), seeds.value, consolidate(link_state.read()).drop(W), links.value, step, self._cut, max_rounds, chain,
             )
             return plus(weighted(gained), weighted(lost, -1))
 
