@@ -63,10 +63,11 @@ def rolling_sum(value: Column, partition: Sequence[str], ts: str, from_: int, to
     A sliding frame adds up its rows for every row anew, which is quadratic where a
     partition is dense; two frames that only grow cost one addition per row each.
     For linear aggregates (sums, counts) of integers, so that the difference is exact.
+    Rows without a time come first and have one another as their range, as in SQL.
     """
     w = Window.partitionBy(*partition).orderBy(ts)
     upto = lambda end: F.coalesce(F.sum(value).over(w.rangeBetween(Window.unboundedPreceding, end)), F.lit(0))
-    return upto(to) - upto(from_ - 1)
+    return upto(to) - F.when(F.col(ts).isNull(), F.lit(0)).otherwise(upto(from_ - 1))
 
 
 _UNITS = 10_000.0
@@ -91,15 +92,14 @@ def rolling_mean(value: Column, partition: Sequence[str], ts: str, from_: int, t
     """
     value = value.cast("double")
     parts = _mean_parts(value, kind)
-    w = Window.partitionBy(*partition).orderBy(ts)
-    upto = lambda c, end: F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, end)), F.lit(0))
-    sums = {k: upto(c, to) - upto(c, from_ - 1) for k, c in parts.items()}
+    sums = {k: rolling_sum(c, partition, ts, from_, to) for k, c in parts.items()}
     if kind.units:
         return _mean_of(sums, F.lit(0.0), kind)
     finite = ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
     left = F.when(finite, F.coalesce(value - parts["exact"].cast("double"), value))
     # Where nothing was left over the sum of decimals stands; a frame of the range adds what was, so nothing cancels.
-    rest = F.coalesce(F.sum(F.when(left != 0, left)).over(w.rangeBetween(from_, to)), F.lit(0.0))
+    frame = Window.partitionBy(*partition).orderBy(ts).rangeBetween(from_, to)
+    rest = F.coalesce(F.sum(F.when(left != 0, left)).over(frame), F.lit(0.0))
     return _mean_of(sums, rest, kind)
 
 
@@ -112,12 +112,13 @@ def rolling_features(
 ) -> DataFrame:
     """Adds means (value, from, to) and counts (from, to) over [ts + from, ts + to] of the partition.
 
-    ``row_id`` names a row: it is unique and not null.  Partitions with ``hot_rows``
-    rows or more (and at least a MAX_HOT-th of all, which bounds their list) are cut
-    into slices of time, each a group of its own: running sums are formed in a
-    slice, on top of the totals before it, and looked up where a row's range begins
-    and ends, which may lie in other slices.  Partitions with values that the
-    decimals of ``rolling_mean`` do not hold are not cut.
+    Partitions with ``hot_rows`` rows or more (and at least a MAX_HOT-th of all, which
+    bounds their list) are cut into slices of time, each a group of its own: running
+    sums are formed in a slice, on top of the totals before it, and looked up where a
+    row's range begins and ends, which may lie in other slices.  They are found again
+    by partition and time, so ``row_id`` may be null or repeated: nothing depends on
+    it.  Partitions with values that the decimals of ``rolling_mean`` do not hold are
+    not cut.
     """
     values = [v.cast("double") for v, _, _ in means.values()]
     finite = [F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v) for v in values]
@@ -148,21 +149,21 @@ def rolling_features(
     names = {k: f"__s{i}" for i, k in enumerate(summed)}
     offsets = sorted({x for _, f, t in means.values() for x in (f - 1, t)} | {x for f, t in counts.values() for x in (f - 1, t)})
     at = F.explode(F.array(F.struct(F.lit(-1).alias("which"), F.col(ts).cast("bigint").alias("t")), *[F.struct(F.lit(j).alias("which"), (F.col(ts) + off).cast("bigint").alias("t")) for j, off in enumerate(offsets)])).alias("__e")
-    events = rows.select(*partition, F.col(row_id).alias("__id"), "__from", "__width", *[c.alias(names[k]) for k, c in summed.items()], at)
+    events = rows.select(*partition, F.col(ts).cast("bigint").alias("__at"), "__from", "__width", *[c.alias(names[k]) for k, c in summed.items()], at)
     events = events.select(
-        *partition, "__id", F.floor((F.col("__e.t") - F.col("__from")) / F.col("__width")).alias("__slice"), F.col("__e.which").alias("__which"), F.col("__e.t").alias("__t"),
+        *partition, "__at", F.floor((F.col("__e.t") - F.col("__from")) / F.col("__width")).alias("__slice"), F.col("__e.which").alias("__which"), F.col("__e.t").alias("__t"),
         *[F.when(F.col("__e.which") < 0, F.col(n)).alias(n) for n in names.values()],
     )
     slices = events.groupBy(*partition, "__slice").agg(*[F.sum(n).alias(n) for n in names.values()])
     before = Window.partitionBy(*partition).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     kinds = {f.name: f.dataType for f in events.schema}
     carried = slices.select(
-        *partition, F.lit(None).cast(kinds["__id"]).alias("__id"), "__slice", F.lit(-2).alias("__which"), F.lit(None).cast("bigint").alias("__t"), *[F.sum(n).over(before).cast(kinds[n]).alias(n) for n in names.values()]
+        *partition, F.lit(None).cast("bigint").alias("__at"), "__slice", F.lit(-2).alias("__which"), F.lit(None).cast("bigint").alias("__t"), *[F.sum(n).over(before).cast(kinds[n]).alias(n) for n in names.values()]
     )
     running = Window.partitionBy(*partition, "__slice").orderBy(F.col("__t").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = events.unionByName(carried).select("__id", "__which", *[F.coalesce(F.sum(n).over(running), F.lit(0)).alias(n) for n in names.values()]).where("__which >= 0")
-    seen = upto.groupBy("__id").agg(*[F.max(F.when(F.col("__which") == j, F.col(n))).alias(f"{n}_{j}") for j in range(len(offsets)) for n in names.values()])
-    found = rows.drop("__from", "__width").join(seen, F.col(row_id) == F.col("__id"))
+    upto = events.unionByName(carried).select(*partition, "__at", "__which", *[F.coalesce(F.sum(n).over(running), F.lit(0)).alias(n) for n in names.values()]).where("__which >= 0")
+    seen = upto.groupBy(*[F.col(p).alias(f"__p_{p}") for p in partition], "__at").agg(*[F.max(F.when(F.col("__which") == j, F.col(n))).alias(f"{n}_{j}") for j in range(len(offsets)) for n in names.values()])
+    found = rows.drop("__from", "__width").join(seen, [*[F.col(p).eqNullSafe(F.col(f"__p_{p}")) for p in partition], F.col(ts) == F.col("__at")])
     between = lambda key, f, t: F.col(f"{names[key]}_{offsets.index(t)}") - F.col(f"{names[key]}_{offsets.index(f - 1)}")
     out = {a: _mean_of({k: between(f"{a}.{k}", f, t) for k in _mean_parts(F.lit(0.0), kind)}, F.lit(0.0), kind) for a, (_, f, t) in means.items()}
     out |= {a: between("one", f, t) for a, (f, t) in counts.items()}

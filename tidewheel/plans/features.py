@@ -9,6 +9,7 @@ from tidewheel.functions import scalar
 from tidewheel.operators.timeseries import HOT_ROWS, rolling_features
 
 DAY = 86_400
+SECOND = 1_000_000
 
 
 def transactions_with_demographics(transactions: DataFrame, demographics: DataFrame) -> DataFrame:
@@ -33,10 +34,11 @@ def fraud_features(transactions: DataFrame, demographics: DataFrame, how: str =
 
 def trip_features(trips: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Trips and fares of the hour before at the pickup place, trips of the half hour before at the dropoff place, weekend flag."""
-    up, down = F.unix_timestamp(F.col("lpep_pickup_datetime").cast("timestamp")), F.unix_timestamp(F.col("lpep_dropoff_datetime").cast("timestamp"))
-    t = trips.withColumns({"up_s": up, "down_s": down})
-    t = rolling_features(t, ["pickup_location_id"], "up_s", "trip_id", {"mean_fare_window_1h_pickup_zip": (F.col("fare_amount"), -3600, -1)}, {"count_trips_window_1h_pickup_zip": (-3600, -1)}, hot_rows)
-    t = rolling_features(t, ["dropoff_location_id"], "down_s", "trip_id", {}, {"count_trips_window_30m_dropoff_zip": (-1800, -1)}, hot_rows)
+    up, down = F.unix_micros(F.col("lpep_pickup_datetime").cast("timestamp")), F.unix_micros(F.col("lpep_dropoff_datetime").cast("timestamp"))
+    t = trips.withColumns({"up_us": up, "down_us": down})
+    hour, half = (-3600 * SECOND, -SECOND), (-1800 * SECOND, -SECOND)
+    t = rolling_features(t, ["pickup_location_id"], "up_us", "trip_id", {"mean_fare_window_1h_pickup_zip": (F.col("fare_amount"), *hour)}, {"count_trips_window_1h_pickup_zip": hour}, hot_rows)
+    t = rolling_features(t, ["dropoff_location_id"], "down_us", "trip_id", {}, {"count_trips_window_30m_dropoff_zip": half}, hot_rows)
     return t.select(
         "trip_id", "lpep_pickup_datetime", "lpep_dropoff_datetime", "pickup_location_id", "dropoff_location_id", "trip_distance", "fare_amount",
         "count_trips_window_1h_pickup_zip", "mean_fare_window_1h_pickup_zip", "count_trips_window_30m_dropoff_zip", F.when(scalar.iso_day_of_week(F.col("lpep_dropoff_datetime")) > 5, 1).otherwise(0).alias("dropoff_is_weekend"),
