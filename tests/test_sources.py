@@ -88,3 +88,28 @@ def one(spark, value, kind, f):
 def test_scalars(spark, value, kind, f, want):
     got = one(spark, value, kind, f)
     assert got == want or (isinstance(want, float) and math.isclose(got, want))
+
+
+def test_sliding_windows_of_scripts_grow_only(spark):
+    """A dense key: sliding frames would add up the rows of the range for every row; nulls, ties, empty ranges and gaps as in SQL."""
+    from decimal import Decimal
+
+    n = 60_000
+    rows = spark.range(n).selectExpr("1 AS k", "CAST(id div 2 AS bigint) AS t", "CASE WHEN id % 5 > 0 THEN CAST(id % 97 AS double) / 100 END AS v", "id")
+    odd = spark.createDataFrame([(2, None, 1.25, -1), (2, None, None, -2), (2, -5, None, -3), (2, -4, 2.5, -4), (2, 9, 1.0, -5)], "k int, t bigint, v double, id bigint")
+    over = lambda a, at="t": f"OVER (PARTITION BY k ORDER BY {at} RANGE BETWEEN {a})"
+    wide, here = over("50000 PRECEDING AND 1 PRECEDING"), over("1 PRECEDING AND 2 FOLLOWING")
+    script = f"""CREATE TABLE pay (k INTEGER, t BIGINT, v DOUBLE PRECISION, id BIGINT);
+      CREATE VIEW sums AS SELECT id, sum(CAST(v AS decimal(18,2))) {wide} AS s, count(v) {wide} AS c, count(*) {here} AS n, 'count(v) {wide}' AS said FROM pay;
+      CREATE VIEW parts AS SELECT id, count(*) {over("1 PRECEDING AND CURRENT ROW", "f")} AS n FROM (SELECT k, id, CAST(t AS double) / 4 AS f FROM pay WHERE k = 2);"""
+    views = sql_script.run_script(spark, script, {"pay": rows.unionByName(odd)})
+    plan = views["sums"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "-50000, -1" not in plan and "unboundedpreceding$(), -50001" in plan
+    assert views["sums"].schema["s"].dataType.simpleString() == "decimal(28,2)"
+    got = {r["id"]: tuple(r)[1:4] for r in views["sums"].collect()}
+    assert {k: got[k] for k in range(-5, 0)} == {-1: (Decimal("1.25"), 1, 2), -2: (Decimal("1.25"), 1, 2), -3: (None, 0, 2), -4: (None, 0, 2), -5: (Decimal("2.50"), 1, 1)}
+    cents = [i % 97 if i % 5 else None for i in range(n)]
+    some = [c for c in cents[: n - 2] if c is not None]
+    assert got[n - 1] == (Decimal(sum(some)) / 100, len(some), 4) and got[0] == (None, 0, 6) and got[2] == (Decimal("0.01"), 1, 8)
+    assert views["sums"].where("id = 5").first()["said"] == f"count(v) {wide}"
+    assert {r["id"]: r["n"] for r in views["parts"].collect()} == {-1: 2, -2: 2, -3: 1, -4: 2, -5: 1}  # no whole numbers: as written
