@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.operators import paths
 from tidewheel.session import cut_lineage, is_empty, written, written_counted
 from tidewheel.zset import W
 
@@ -163,8 +164,15 @@ def lengthened(edges: DataFrame, longer: int = LONGER) -> tuple[DataFrame, int,
 
 
 def transitive_closure(edges: DataFrame, longer: int = LONGER) -> DataFrame:
-    """All (src, dst) with a path; lengthened edges divide the number of rounds by their length."""
-    e, _, complete = lengthened(edges, longer)
+    """All (src, dst) with a path.
+
+    Edges that fit one task are condensed there and the rows made when they are read
+    (``paths``); of more, lengthened edges divide the number of rounds by their length.
+    """
+    e = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    if paths.fits(e):
+        return paths.change(None, written(paths.condensed(e))).select("src", "dst")
+    e, _, complete = lengthened(e, longer)
     return e if complete else fixpoint({"path": e}, lambda known, new: {"path": _onward(new["path"], e)})["path"]
 
 
