@@ -5,6 +5,7 @@ import pytest
 
 from tidewheel.operators import paths, recursion
 from tidewheel.session import ensure_checkpoint_dir
+from tidewheel.streaming.circuit import Circuit
 from tidewheel.zset import W
 
 
@@ -58,3 +59,39 @@ def test_graphs_beyond_one_task_and_of_other_kinds(spark, monkeypatch):
     assert recursion.transitive_closure(of(spark, edges).where("src > 9")).count() == 0
     monkeypatch.setattr(paths, "MOST_EDGES", 4)
     assert sorted(tuple(r) for r in recursion.transitive_closure(of(spark, edges)).collect()) == sorted(closed(edges))
+
+
+def test_closures_of_circuits_are_condensed(spark, monkeypatch, tmp_path):
+    """Changes and contents over ticks, an empty graph, a restart, and edges that no longer fit one task; no round of joins before."""
+    rounds = []
+    real = recursion.maintain
+    monkeypatch.setattr(recursion, "maintain", lambda *a: rounds.append(1) or real(*a))
+    step = lambda x, e: x.select("src", recursion.F.col("dst").alias("mid")).join(e.select(recursion.F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+
+    def build():
+        c = Circuit(spark, compact_every=2)
+        e = c.add_input("e", "src bigint, dst bigint")
+        e.closure(e, step, chain=("src", "dst")).output("change")
+        e.closure(e, step, chain=("src", "dst"), whole=True).output("whole")
+        return c
+
+    c, live, before = build(), set(), set()
+    ring = {(i, (i + 1) % 40) for i in range(40)}
+    ticks = [(ring | {(40, 3)}, set()), ({(3, 50)}, {(5, 6), (30, 31)}), (set(), None), ({(1, 2), (2, 1)}, set()), ({(2, 3), (3, 4), (9, 9)}, {(1, 2)})]
+    for k, (come, go) in enumerate(ticks):
+        go = set(live) if go is None else go
+        if k == 2:
+            c.save(f"{tmp_path}/saved")
+            c = build()
+            c.load(f"{tmp_path}/saved")
+        if k == 4:
+            assert not rounds
+            monkeypatch.setattr(paths, "MOST_EDGES", 3)
+        live = (live | come) - go
+        changes = [(*x, 1) for x in come] + [(*x, -1) for x in go]
+        out = c.step(e=spark.createDataFrame(changes, f"src bigint, dst bigint, {W} bigint"))
+        now = closed(live)
+        assert sorted(tuple(r) for r in out["whole"].select("src", "dst", W).collect()) == sorted((*x, 1) for x in now)
+        assert sorted(tuple(r) for r in out["change"].select("src", "dst", W).collect()) == sorted([*((*x, 1) for x in now - before), *((*x, -1) for x in before - now)])
+        before = now
+    assert len(rounds) == 2

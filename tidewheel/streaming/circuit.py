@@ -6,7 +6,8 @@ gives on the added-up inputs.  Linear operators work on the change alone; joins
 use Δ(A ⋈ B) = ΔA ⋈ (B + ΔB) + A ⋈ ΔB; linear aggregates keep one sum per key;
 distinct, other aggregates and rolling aggregates recompute touched keys only;
 ``closure`` maintains a recursion by semi-naive rounds from what was inserted and
-by deleting and deriving again; ``recursive`` recomputes and differences.  Streams
+by deleting and deriving again, or the paths of a graph by its condensed form;
+``recursive`` recomputes and differences.  Streams
 of scalars (watermarks, bounds) live on the driver.
 
 State is written (see :mod:`tidewheel.streaming.state`).  Whatever a stream keeps
@@ -29,7 +30,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators import inputs, joins, recursion
+from tidewheel.operators import inputs, joins, paths, recursion
 from tidewheel.operators import timeseries as ts_ops
 from tidewheel.session import is_empty
 from tidewheel.streaming.state import Parts, StateTable, few_values, keys_match, part_of
@@ -335,26 +336,46 @@ class Stream:
         """As ``recursive``, of two inputs."""
         return self.integrate().apply2(other.integrate(), f).differentiate()
 
-    def closure(self, edges: Stream, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = 1000, chain: tuple[str, str] | None = None) -> Stream:
+    def closure(self, edges: Stream, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = 1000, chain: tuple[str, str] | None = None, whole: bool = False) -> Stream:
         """Change of the least set X = self + step(X, edges), where ``step`` is linear in both (a join and a projection).
 
         Inserts go on from what is new.  Deletes first take out all that was derived
         through what is gone, then derive again what still has another derivation.
         Both inputs are taken as sets; ``step`` gets them without weights and must
         give the columns of ``self``.  For ``chain`` see ``recursion.maintain``.
+
+        With ``chain`` the closure of a stream over itself is kept as its condensed
+        graph for as long as its edges fit one task (``paths``): a tick condenses the
+        edges anew, and the change is what one graph has and the other has not.
+
+        ``whole`` gives all of X after each tick in place of its change.
         """
         seeds, links = self.distinct(), edges.distinct()
         seed_state, link_state = seeds.trace(), links.trace()
-        held: dict[str, Any] = {"known": None}
+        cols = data_columns(self.empty)
+        own = chain is not None and edges is self and tuple(cols) == tuple(chain)
+        held: dict[str, Any] = {"known": None, "graph": None}
 
         def evaluate() -> DataFrame:
-            known = held["known"] if held["known"] is not None else self.empty.drop(W)
-            held["next"], gained, lost = recursion.maintain(
+            known, graph = held["known"], held["graph"]
+            if own and known is None:
+                now = self._cut(consolidate(plus(link_state.read(), links.value))).drop(W)
+                if paths.fits(now):
+                    held["next"] = None, self._cut(paths.condensed(now))
+                    return paths.change(None if whole else graph, held["next"][1], chain)
+                if graph is not None:
+                    known = self._cut(paths.change(None, graph, chain).select(*cols))
+            known = known if known is not None else self.empty.drop(W)
+            after, gained, lost = recursion.maintain(
                 known, consolidate(seed_state.read()).drop(W), seeds.value, consolidate(link_state.read()).drop(W), links.value, step, self._cut, max_rounds, chain,
             )
-            return plus(weighted(gained), weighted(lost, -1))
+            held["next"] = after, None
+            return weighted(after) if whole else plus(weighted(gained), weighted(lost, -1))
 
-        return self._stream(evaluate, self.empty, lambda: held.update(known=held.pop("next")), held)
+        def after() -> None:
+            held["known"], held["graph"] = held.pop("next")
+
+        return self._stream(evaluate, self.empty, after, held)
 
     def inspect(self, f: Callable[[Any], None]) -> Stream:
         """Calls f with each value; the stream goes on unchanged."""
